@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import labels
+from pagemill.llm import labels, lookalike
 from pagemill.session import latest, read
 
 
@@ -38,5 +38,23 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(mapped, ["list_name", "value"]).select("list_name", "value", "code", F.round("score", 4).alias("score"), "n_rows")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
+def _vocabulary_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``field_name, vocabulary_entry_id, profile, text`` of the latest vocabulary rows."""
+    rows = latest(read(spark, sf_dir, "vocabulary_entries"), "vocabulary_entry_id", "received_at", "lemma", "ipa", "definition")
+    field = lambda name, profile: F.struct(F.lit(name).alias("field_name"), F.lit(profile).alias("profile"), F.col(name).alias("text"))
+    fields = F.array(field("lemma", "text"), field("ipa", "ipa"), field("definition", "text"))
+    return rows.select("vocabulary_entry_id", F.explode(fields).alias("f")).select("vocabulary_entry_id", "f.*")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that are not in house form."""
+    return p4_house_form(spark, sf_dir).select("field_name", "vocabulary_entry_id")
+
+
+def p4_house_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the text as it is and in house form."""
+    return lookalike.house_form(_vocabulary_fields(spark, sf_dir), ["field_name", "vocabulary_entry_id"])
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_house_form": p4_house_form}
 SQL: dict[str, str] = {}
