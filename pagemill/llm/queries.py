@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import labels, lookalike
+from pagemill.llm import labels, lookalike, mix, split
 from pagemill.session import latest, read
 
 
@@ -56,5 +56,33 @@ def p4_house_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.house_form(_vocabulary_fields(spark, sf_dir), ["field_name", "vocabulary_entry_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_house_form": p4_house_form}
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training set in order of ``slot, position``."""
+    return mix.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    report = mix.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[1]
+    return report.withColumn("share", F.round("share", 6))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents to be cut."""
+    return _split(spark, sf_dir).where("piece_no = 0").select("doc_id").distinct()
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of the documents to be cut."""
+    return _split(spark, sf_dir)
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "size_limits"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_house_form": p4_house_form, "p7_mixture": p7_mixture, "p7_report": p7_report,
+    "p8_found": p8_found, "p8_pieces": p8_pieces,
+}
 SQL: dict[str, str] = {}
