@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import labels, lookalike, mix, split
+from pagemill.llm import labels, leaks, lookalike, mix, split
 from pagemill.session import latest, read
 
 
@@ -56,6 +56,17 @@ def p4_house_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.house_form(_vocabulary_fields(spark, sf_dir), ["field_name", "vocabulary_entry_id"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an item word for word, with the item."""
+    return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with reworded passages, the share of common words and whether an answer is near."""
+    found = leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), paraphrases=True)
+    return found.withColumn("cosine", F.round("cosine", 3)).withColumn("common_share", F.round("common_share", 3))
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training set in order of ``slot, position``."""
     return mix.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[0]
@@ -82,7 +93,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_house_form": p4_house_form, "p7_mixture": p7_mixture, "p7_report": p7_report,
+    "p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_house_form": p4_house_form, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_report": p7_report,
     "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
 SQL: dict[str, str] = {}
