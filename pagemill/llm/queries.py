@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import labels, leaks, lookalike, mix, split
-from pagemill.session import latest, read
+from pagemill.llm import labels, leaks, lookalike, mix, scan, split
+from pagemill.session import latest, materialize, read
 
 
 def _entered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,25 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(mapped, ["list_name", "value"]).select("list_name", "value", "code", F.round("score", 4).alias("score"), "n_rows")
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``table_name, row_id, text`` of the latest rows of the three tables of scanned text."""
+    parts = [
+        latest(read(spark, sf_dir, table), key, "received_at", text).select(F.lit(table).alias("table_name"), F.col(key).alias("row_id"), F.col(text).alias("text"))
+        for table, key, text in (("source_blocks", "source_block_id", "text"), ("source_entries", "source_entry_id", "raw_text"), ("vocabulary_entries", "vocabulary_entry_id", "definition"))
+    ]
+    return materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]).where("text IS NOT NULL"), "scanned")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text holds divided words, misread characters, headers or page numbers."""
+    return p3_repaired(spark, sf_dir).where("n_joined + n_furniture + n_replaced > 0").select("table_name", "row_id")
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its text as printed."""
+    return scan.repair_texts(_scanned(spark, sf_dir), ["table_name", "row_id"])
+
+
 def _vocabulary_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``field_name, vocabulary_entry_id, profile, text`` of the latest vocabulary rows."""
     rows = latest(read(spark, sf_dir, "vocabulary_entries"), "vocabulary_entry_id", "received_at", "lemma", "ipa", "definition")
@@ -93,7 +112,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_house_form": p4_house_form, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_report": p7_report,
+    "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_house_form": p4_house_form, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_report": p7_report,
     "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
 SQL: dict[str, str] = {}
