@@ -115,4 +115,34 @@ QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_house_form": p4_house_form, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_report": p7_report,
     "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
-SQL: dict[str, str] = {}
+
+
+def _sql_fold(c: str) -> str:
+    """The look-alike table as SQL: one-to-one characters by translate, ligatures by replace, the rest of accents composed."""
+    table = {chr(k): v for k, v in lookalike.TABLES["text"].items() if k < 0x10000 and "'" not in (chr(k) + v)}
+    singles = {k: v for k, v in table.items() if len(v) == 1}
+    gone = "".join(k for k, v in table.items() if v == "")
+    out = f"translate({c}, '{''.join(singles)}', '{''.join(singles.values())}')"
+    for k, v in table.items():
+        if len(v) > 1 and 0xFB00 <= ord(k) < 0xFB07:
+            out = f"replace({out}, '{k}', '{v}')"
+    return f"nfc_normalize(regexp_replace({out}, '[{gone}]', '', 'g'))"
+
+
+_P4_SQL = r"""
+WITH v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vocabulary_entry_id ORDER BY received_at DESC) AS n FROM vocabulary_entries) WHERE n = 1)
+SELECT 'lemma' AS field_name, vocabulary_entry_id FROM v WHERE regexp_matches(lemma, '[^ -~À-ɏ]|^ | $') OR lemma <> nfc_normalize(lemma)
+UNION ALL SELECT 'ipa', vocabulary_entry_id FROM v WHERE regexp_matches(ipa, '[^a-fh-zˈˌːɡəɑæʃθðŋɪʊɔɜʌʒɒɛ]')
+UNION ALL SELECT 'definition', vocabulary_entry_id FROM v WHERE regexp_matches(definition, '[^ -~\r\nÀ-ɏ\x{4e00}-\x{9fff}，；：（）！？。、—·¬…]|^\s|\s$') OR definition <> nfc_normalize(definition)
+"""
+
+#: Every run of 12 words or 20 characters of the items against every run of the documents.
+_P6_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower({_sql_fold('text')}), '[a-zà-ɏ0-9]+|[\x{{4e00}}-\x{{9fff}}]') AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, CASE lang WHEN 'en' THEN 12 ELSE 20 END AS k, regexp_extract_all(lower({_sql_fold('text')}), '[a-zà-ɏ0-9]+|[\x{{4e00}}-\x{{9fff}}]') AS t FROM eval_items),
+ir AS (SELECT item_id, k, array_to_string(t[p:p + k - 1], ' ') AS r FROM (SELECT *, unnest(range(1, len(t) - k + 2)) AS p FROM i)),
+dr AS (SELECT doc_id, k, array_to_string(t[p:p + k - 1], ' ') AS r FROM (SELECT *, unnest(range(1, len(t) - k + 2)) AS p FROM w, (SELECT unnest([12, 20]) AS k)))
+SELECT DISTINCT item_id, doc_id FROM ir JOIN dr ON ir.k = dr.k AND ir.r = dr.r
+"""
+
+SQL: dict[str, str] = {"p4_found": _P4_SQL, "p6_found": _P6_SQL}
