@@ -43,7 +43,11 @@ BOOK = Grammar()
 
 def line_class(line: Column, g: Grammar = BOOK) -> Column:
     """The class of a line whatever stands around it; the first rule that holds decides."""
-    s = squeezed(F.coalesce(line, F.lit("")))
+    return class_of(squeezed(F.coalesce(line, F.lit(""))), g)
+
+
+def class_of(s: Column, g: Grammar = BOOK) -> Column:
+    """``line_class`` of a line that is squeezed already."""
     return (
         F.when(s == "", "EMPTY")
         .when(s.rlike(g.word_list), "WORD_LIST_HEADER")
@@ -70,7 +74,11 @@ def word_list_number(line: Column, g: Grammar = BOOK) -> Column:
 
 def head_parts(line: Column, g: Grammar = BOOK) -> Column:
     """``struct<lemma, starred, ipa>`` of a head with or without transcription; null for another line."""
-    s = squeezed(line)
+    return head_of(squeezed(line), g)
+
+
+def head_of(s: Column, g: Grammar = BOOK) -> Column:
+    """``head_parts`` of a line that is squeezed already."""
     full = F.struct(F.regexp_extract(s, g.head, 1).alias("lemma"), (F.regexp_extract(s, g.head, 2) == "*").alias("starred"), F.regexp_extract(s, g.head, 3).alias("ipa"))
     bare = F.struct(F.regexp_extract(s, g.bare_head, 1).alias("lemma"), (F.regexp_extract(s, g.bare_head, 2) == "*").alias("starred"), F.lit(None).cast("string").alias("ipa"))
     return F.when(s.rlike(g.head), full).when(s.rlike(g.bare_head), bare)

@@ -11,6 +11,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 CHINESE = r"[㐀-鿿，。；：！？、（）【】《》“”‘’]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` with ``value`` computed once; inside lambdas nothing else shares common subexpressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeezed(text: Column) -> Column:
     """Runs of any Unicode white space to one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

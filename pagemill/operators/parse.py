@@ -6,28 +6,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import grammar as G
-from pagemill.functions.text import joined, lines, squeezed
+from pagemill.functions.text import joined, let, lines, squeezed
 
 _IPA_LINE = r"^\[([^\]]+)\]\s*(.*)$"
 
 
-def _last_changed(items: Column, change) -> Column:
-    """``items`` with its last element changed."""
-    return F.concat(F.slice(items, 1, F.size(items) - 1), F.array(change(F.element_at(items, -1))))
+def _seen(line: Column, g: G.Grammar) -> Column:
+    """All that can be said of a squeezed line by itself, computed once: the fold only looks at it."""
+    names = F.create_map(*[x for mark, name in zip(g.marks, g.field_names) for x in (F.lit(mark), F.lit(name))])
+    body = F.regexp_extract(line, _IPA_LINE, 2)
+    is_ipa = line.rlike(_IPA_LINE) & ((body == "") | body.rlike(g.sense))
+    parts = F.struct(
+        line.alias("line"), G.class_of(line, g).alias("kind"), names[F.left(line, F.lit(1))].alias("mark"), F.trim(F.substring(line, 2, 2**31 - 1)).alias("payload"),
+        F.when(is_ipa, F.regexp_extract(line, _IPA_LINE, 1)).alias("ipa"), F.when(is_ipa, body).otherwise(line).alias("rest"),
+    )
+    is_sense = lambda x: x["rest"].rlike(g.sense)
+    return let(parts, lambda x: F.struct(
+        x["line"].alias("line"), x["kind"].alias("kind"), x["mark"].alias("mark"), x["payload"].alias("payload"), x["ipa"].alias("ipa"), x["rest"].alias("rest"),
+        F.when(is_sense(x), F.struct(F.regexp_extract(x["rest"], g.sense, 1).alias("pos"), F.trim(F.regexp_extract(x["rest"], g.sense, 2)).alias("definition"))).alias("sense"),
+    ))
+
+
+def _state(active: Column, ipas: Column, senses: Column, fields: Column, loose: Column) -> Column:
+    return F.struct(active.alias("active"), ipas.alias("ipas"), senses.alias("senses"), fields.alias("fields"), loose.alias("loose"))
+
+
+def _unmarked(state: Column, x: Column) -> Column:
+    """After a line outside marked fields: a transcription, a sense, the rest of a sense, or loose text."""
+    ipas = F.when(x["ipa"].isNotNull(), F.concat(state["ipas"], F.array(x["ipa"]))).otherwise(state["ipas"])
+    n = F.size(state["senses"])
+    longer = lambda s: F.struct(s["pos"].alias("pos"), joined(s["definition"], x["rest"]).alias("definition"))
+    senses = (
+        F.when(x["rest"] == "", state["senses"]).when(x["sense"].isNotNull(), F.concat(state["senses"], F.array(x["sense"])))
+        .when(n > 0, F.concat(F.slice(state["senses"], 1, n - 1), F.array(longer(F.element_at(state["senses"], -1))))).otherwise(state["senses"])
+    )
+    loose = F.when((x["rest"] != "") & x["sense"].isNull() & (n == 0), F.concat(state["loose"], F.array(x["rest"]))).otherwise(state["loose"])
+    return _state(state["active"], ipas, senses, state["fields"], loose)
 
 
-def _unmarked(state: Column, text: Column, g: G.Grammar) -> Column:
-    """A line outside marked fields: a transcription, a sense, the rest of a sense, or loose text."""
-    body = F.regexp_extract(text, _IPA_LINE, 2)
-    is_ipa = text.rlike(_IPA_LINE) & ((body == "") | body.rlike(g.sense))
-    rest = F.when(is_ipa, body).otherwise(text)
-    ipas = F.when(is_ipa, F.concat(state["ipas"], F.array(F.regexp_extract(text, _IPA_LINE, 1)))).otherwise(state["ipas"])
-    new_sense = F.struct(F.regexp_extract(rest, g.sense, 1).alias("pos"), F.trim(F.regexp_extract(rest, g.sense, 2)).alias("definition"))
-    longer = lambda s: F.struct(s["pos"].alias("pos"), joined(s["definition"], rest).alias("definition"))
-    is_sense, has_sense = rest.rlike(g.sense), F.size(state["senses"]) > 0
-    senses = F.when(rest == "", state["senses"]).when(is_sense, F.concat(state["senses"], F.array(new_sense))).when(has_sense, _last_changed(state["senses"], longer)).otherwise(state["senses"])
-    loose = F.when((rest != "") & ~is_sense & ~has_sense, F.concat(state["loose"], F.array(rest))).otherwise(state["loose"])
-    return F.struct(state["active"].alias("active"), ipas.alias("ipas"), senses.alias("senses"), state["fields"].alias("fields"), loose.alias("loose"))
+def _step(state: Column, x: Column) -> Column:
+    """The state after one line."""
+    value = lambda kind, text: F.array(F.struct(kind.alias("type"), text.alias("text")))
+    marked = _state(x["mark"], state["ipas"], state["senses"], F.when(x["payload"] != "", F.concat(state["fields"], value(x["mark"], x["payload"]))).otherwise(state["fields"]), state["loose"])
+    n = F.size(state["fields"])
+    # a field's value goes on in the last one of its type, which a mark alone on its line may have left behind
+    last = n - F.array_position(F.reverse(F.transform(state["fields"], lambda f: f["type"])), state["active"])
+    more = F.transform(state["fields"], lambda f, i: F.when(i == last, F.struct(f["type"].alias("type"), F.trim(F.concat(f["text"], F.lit(" "), x["line"])).alias("text"))).otherwise(f))
+    continues = F.exists(state["fields"], lambda f: f["type"] == state["active"])
+    continued = _state(state["active"], state["ipas"], state["senses"], F.when(continues, more).otherwise(F.concat(state["fields"], value(state["active"], x["line"]))), state["loose"])
+    skipped = x["kind"].isin("WORD_LIST_HEADER", "PREVIEW_TABLE_HEADER", "PREVIEW_TABLE", "PAGE_NUMBER", "DECORATION")
+    return F.when(x["kind"] == "ENTRY_FIELD", marked).when(skipped, state).when(state["active"].isNotNull(), continued).otherwise(_unmarked(state, x))
 
 
 def parsed(text: Column, g: G.Grammar = G.BOOK) -> Column:
@@ -36,41 +64,20 @@ def parsed(text: Column, g: G.Grammar = G.BOOK) -> Column:
     ``fields`` holds ``struct<type, text>`` in order. A mark alone on its line makes the next line its value; lines after
     a marked one continue it; headings, page numbers and decorations inside an entry are left out.
     """
-    ls = F.transform(lines(text), squeezed)
+    return let(F.transform(lines(text), squeezed), lambda ls: let(G.head_of(F.get(ls, F.lit(0)), g), lambda head: F.when(head.isNotNull(), _folded(ls, head, g))))
+
+
+def _folded(ls: Column, head: Column, g: G.Grammar) -> Column:
     first = F.get(ls, F.lit(0))
-    head = G.head_parts(first, g)
     body = F.when(first.rlike(g.head), F.trim(F.regexp_replace(first, g.head, ""))).otherwise("")
     none = lambda t: F.expr(f"cast(array() as {t})")
-    start = F.struct(
-        F.lit(None).cast("string").alias("active"),
-        F.when(head["ipa"].isNotNull(), F.array(head["ipa"])).otherwise(none("array<string>")).alias("ipas"),
-        none("array<struct<pos:string,definition:string>>").alias("senses"), none("array<struct<type:string,text:string>>").alias("fields"), none("array<string>").alias("loose"),
-    )
-    names = F.create_map(*[x for mark, name in zip(g.marks, g.field_names) for x in (F.lit(mark), F.lit(name))])
-
-    def step(state: Column, line: Column) -> Column:
-        kind = G.line_class(line, g)
-        mark = names[F.left(line, F.lit(1))]
-        payload = F.trim(F.substring(line, 2, 2**31 - 1))
-        marked = F.struct(
-            mark.alias("active"), state["ipas"].alias("ipas"), state["senses"].alias("senses"),
-            F.when(payload != "", F.concat(state["fields"], F.array(F.struct(mark.alias("type"), payload.alias("text"))))).otherwise(state["fields"]).alias("fields"), state["loose"].alias("loose"),
-        )
-        of_type = F.filter(state["fields"], lambda f: f["type"] == state["active"])
-        last_at = F.size(state["fields"]) - F.array_position(F.reverse(F.transform(state["fields"], lambda f: f["type"])), state["active"])
-        more = F.transform(state["fields"], lambda f, i: F.when(i == last_at, F.struct(f["type"].alias("type"), F.trim(F.concat(f["text"], F.lit(" "), line)).alias("text"))).otherwise(f))
-        fields = F.when(F.size(of_type) > 0, more).otherwise(F.concat(state["fields"], F.array(F.struct(state["active"].alias("type"), line.alias("text")))))
-        continued = F.struct(state["active"].alias("active"), state["ipas"].alias("ipas"), state["senses"].alias("senses"), fields.alias("fields"), state["loose"].alias("loose"))
-        skipped = kind.isin("WORD_LIST_HEADER", "PREVIEW_TABLE_HEADER", "PREVIEW_TABLE", "PAGE_NUMBER", "DECORATION")
-        return F.when(kind == "ENTRY_FIELD", marked).when(skipped, state).when(state["active"].isNotNull(), continued).otherwise(_unmarked(state, line, g))
-
-    begun = F.when(body == "", start).otherwise(_unmarked(start, body, g))
-    folded = F.aggregate(F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), begun, step)
-    result = F.struct(
-        head["lemma"].alias("lemma"), head["starred"].alias("starred"), F.get(folded["ipas"], F.lit(0)).alias("ipa"), folded["ipas"].alias("ipas"),
-        folded["senses"].alias("senses"), folded["fields"].alias("fields"), folded["loose"].alias("loose"),
-    )
-    return F.when(head.isNotNull(), result)
+    ipas = F.when(head["ipa"].isNotNull(), F.array(head["ipa"])).otherwise(none("array<string>"))
+    start = _state(F.lit(None).cast("string"), ipas, none("array<struct<pos:string,definition:string>>"), none("array<struct<type:string,text:string>>"), none("array<string>"))
+    begun = let(start, lambda s: F.when(body == "", s).otherwise(let(_seen(body, g), lambda x: _unmarked(s, x))))
+    rest = F.transform(F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), lambda line: _seen(line, g))
+    return let(F.aggregate(rest, begun, _step), lambda f: F.struct(
+        head["lemma"].alias("lemma"), head["starred"].alias("starred"), F.get(f["ipas"], F.lit(0)).alias("ipa"), f["ipas"].alias("ipas"), f["senses"].alias("senses"), f["fields"].alias("fields"), f["loose"].alias("loose"),
+    ))
 
 
 def parsed_line(text: Column, g: G.Grammar = G.BOOK) -> Column:
