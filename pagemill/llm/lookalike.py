@@ -57,6 +57,9 @@ def tables() -> dict[str, dict[int, str]]:
     phonetic |= {0xFF07: "ˈ", 0xFF1A: "ː", 0xFF47: "ɡ"}
     latin.pop(ord("ɡ"), None)  # phonetic letters cited in running text are right there
     latin.pop(ord("ɑ"), None)
+    for table in (latin, phonetic):  # a replacement may be a look-alike itself
+        for _ in range(3):
+            table.update({k: v.translate(table) for k, v in table.items()})
     return {"text": latin, "ipa": phonetic}
 
 
@@ -201,7 +204,7 @@ def house_form(df: DataFrame, key: list[str], text: str = "text", profile: str =
     words = flagged.select("profile", F.explode(_pieces(_spaced(F.col("__text")))).alias("token")).where("trim(token) <> '' AND token NOT IN ('\n', '\r', '\t')")
     counted = words.groupBy("profile", "token").agg(F.count("*").alias("n")).withColumn("odd", is_odd(F.col("token")))
     mapping = spellings(materialize(counted, "tokens"))
-    odd_rows = flagged.where("__odd")
+    odd_rows = flagged.where("__odd").select(*key, "profile", "__text").distinct()
     placed = odd_rows.select(*key, "profile", "__text", F.posexplode(_pieces(_spaced(F.col("__text")))).alias("pos", "token"))
     joined = placed.join(mapping.select("profile", "token", "spelling"), ["profile", "token"], "left")
     whole = joined.groupBy(*key, "profile", "__text").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("spelling", "token").alias("w")))).alias("ws"))

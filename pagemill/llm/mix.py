@@ -38,15 +38,15 @@ def quotas(targets: list[tuple[str, float, int]], available: dict[str, int], tot
     caps = {s: r * available[s] for s, (_, r) in live.items()}
     weight = sum(w for w, _ in live.values())
     if total is None:
-        total = int(min((caps[s] * weight / w for s, (w, _) in live.items()), default=0))
+        total = min((caps[s] * weight / w for s, (w, _) in live.items()), default=0)
     taken: dict[str, int] = {}
     open_ = dict(live)
     left = total
     while open_:
         weight = sum(w for w, _ in open_.values())
-        full = [s for s, (w, _) in open_.items() if caps[s] <= left * w / weight]
+        full = [s for s, (w, _) in open_.items() if caps[s] <= left * w / weight + 1e-6]
         if not full:
-            taken |= {s: int(left * w / weight) for s, (w, _) in open_.items()}
+            taken |= {s: int(left * w / weight + 1e-6) for s, (w, _) in open_.items()}
             break
         for s in full:
             taken[s] = caps[s]

@@ -20,7 +20,13 @@ from pagemill.session import broadcast_if_small
 WINDOW = 16
 _GEAR = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 #: Natural ends by strength: paragraph, line, sentence, clause or word.
-_ENDS = ((4, re.compile(rb"\r?\n[ \t]*\r?\n[\s]*")), (3, re.compile(rb"\r?\n")), (2, re.compile("[.!?。！？；;][\"'”’）)\\]]*(?:\\s+|(?<=[。！？；”’）]))".encode())), (1, re.compile("\\s+|[，、,：:]".encode())))
+_CLOSING = "(?:[\"')\\]]|”|’|）)*"
+_ENDS = (
+    (4, re.compile(rb"\r?\n[ \t]*\r?\n\s*")),
+    (3, re.compile(rb"\r?\n")),
+    (2, re.compile(f"[.!?;]{_CLOSING}(?=\\s)|(?:。|！|？|；){_CLOSING}".encode())),
+    (1, re.compile(r"(?<!\s)(?=\s)|，|、|：".encode())),
+)
 
 
 def landmarks(data: np.ndarray, bits: int) -> np.ndarray:
@@ -65,13 +71,18 @@ def split_text(text: str, raw_vocabulary: bytes, max_tokens: int, overlap_tokens
     end_token = np.searchsorted(starts, ends)
     exact = starts[np.minimum(end_token, len(starts) - 1)] == ends  # boundaries between tokens only
     end_token, strength = end_token[exact], strength[exact]
+    total = len(ids)
     bits = max(2, int(np.log2(max_tokens * 3 / 8)))
     marks = np.unique(np.searchsorted(starts, landmarks(data, bits)))
 
     def clean_at(token: int, least: int) -> int:
-        while token > least and not clean[token]:
-            token -= 1
-        return token
+        """The nearest token at or before ``token``, from ``least`` on, that begins with a character, else the next one."""
+        at = token
+        while at > least and not clean[at]:
+            at -= 1
+        while at < total and not clean[at]:
+            at += 1
+        return at
 
     def cut(core: int, low: int, high: int) -> int:
         inside = marks[np.searchsorted(marks, low) : np.searchsorted(marks, high, side="right")]
@@ -85,22 +96,20 @@ def split_text(text: str, raw_vocabulary: bytes, max_tokens: int, overlap_tokens
                 return int(at[np.argmin(np.abs(at - aim))])
         return clean_at(aim, core + 1)
 
-    pieces, core, total = [], 0, len(ids)
+    pieces, core = [], 0
     while core < total:
         first = core if core == 0 else clean_at(core - overlap, 0)
         room = max_tokens - (core - first)
         high = min(total, core + room)
         while True:
             end = total if high >= total else cut(core, min(core + max(1, int(room * least_share)), high), high)
-            if end <= core:
-                end = core + 1
-                while end < total and not clean[end]:
-                    end += 1
+            end = clean_at(max(end, core + 1), core + 1)
             part = raw[starts[first] : starts[end]].decode("utf-8", "ignore")
             n = len(encoding.encode_ordinary(part))
-            if n <= max_tokens or end <= core + 1:
+            lower = max(core + 1, min(high, end) - max(1, n - max_tokens))
+            if n <= max_tokens or clean_at(lower, core + 1) >= end:
                 break
-            high = max(core + 1, min(high, end) - (n - max_tokens))
+            high = lower
         pieces.append((int(chars[starts[first]]), int(chars[starts[end]]), int(chars[starts[core]]), n))
         core = end
     return pieces
