@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import grammar as G
 from pagemill.functions import text as X
-from pagemill.operators import parse, segment
+from pagemill.operators import parse, segment, store
 from pagemill.session import latest, read
 
 IPA_LETTERS = "ˈˌːəɪʊɔɜʌæɑʃʒθðŋɡɒ"
@@ -192,6 +192,30 @@ def sample_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.unionByName(rest).orderBy("phase", F.desc("d"), F.desc("n_phonetic"), "page_id").limit(30).select("page_id", "phase")
 
 
+def audit_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsure blocks, entries over several pages and entries without a headword, with excerpts."""
+    q = store.audit_queue(blocks(spark, sf_dir), entries(spark, sf_dir))
+    return q.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
+
+
+def page_review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, entries and review flags of each page's nested document."""
+    p = store.page_documents(blocks(spark, sf_dir), entries(spark, sf_dir))
+    return p.select("document_version_id", "page_number", F.size("blocks").alias("n_blocks"), F.size("entries").alias("n_entries"), F.array_join("flags", ",").alias("flags"))
+
+
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their line classes and the entries they hold."""
+    p = store.page_layout(blocks(spark, sf_dir), entries(spark, sf_dir))
+    return p.select("page_id", "block_id", F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "starts_entry", F.size("entry_ids").alias("n_entries"), F.get("entry_ids", F.lit(0)).alias("first_entry"))
+
+
+def pages_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose native text is missing or too short."""
+    b = blocks(spark, sf_dir)
+    return store.pages_to_recognise(b.select("page_id").distinct(), b.where("source_engine = 'pymupdf-native'"))
+
+
 _LATEST = """
 WITH blk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_block_id ORDER BY received_at DESC) AS rn FROM source_blocks) WHERE rn = 1),
 ent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_entry_id ORDER BY received_at DESC) AS rn FROM source_entries) WHERE rn = 1),
@@ -273,7 +297,7 @@ pt AS (SELECT *, list_sort(list_filter([CASE WHEN n_left >= 2 AND n_right >= 2 T
 
 QUERIES = {f.__name__: f for f in (
     text_layer_profile, squeezed_texts, line_class_counts, segmented_entries, entry_links, segmentation_metrics, parsed_heads, entry_fields, entry_senses, field_provenance, one_line_entries, effective_texts,
-    low_confidence_blocks, review_latest_state, review_detail, unlinked_rows, representation_metrics, validation_issues, page_islands, page_profile, sample_selection,
+    audit_queue, page_review_flags, page_layout, pages_without_text, low_confidence_blocks, review_latest_state, review_detail, unlinked_rows, representation_metrics, validation_issues, page_islands, page_profile, sample_selection,
 )}
 
 SQL = {
@@ -301,6 +325,19 @@ SQL = {
  SELECT source_entry_id, decision, sha256(t) AS text_digest, length(t) AS n_chars FROM t""",
     "low_confidence_blocks": _LATEST + """SELECT source_block_id, page_id, confidence FROM blk WHERE source_engine <> 'pymupdf-native' AND (confidence IS NULL OR confidence < 0.85)
  AND NOT EXISTS (SELECT 1 FROM ent JOIN res ON ent.source_entry_id = res.source_entry_id WHERE res.decision IN ('ACCEPT', 'DISCARD') AND list_contains(ent.block_ids, blk.source_block_id))""",
+    "audit_queue": _LATEST + f"""SELECT 'block' AS kind, source_block_id AS row_id, CAST(page_number AS VARCHAR) AS pages, 'low_confidence' AS reason, coalesce(raw_text, '')[1:240] AS excerpt FROM blk WHERE source_engine <> 'pymupdf-native' AND coalesce(confidence, 0) < 0.85
+ UNION ALL SELECT 'entry', source_entry_id, array_to_string(source_pages, ','), 'cross_page', raw_text[1:240] FROM ent WHERE len(source_pages) > 1
+ UNION ALL SELECT 'entry', source_entry_id, array_to_string(source_pages, ','), 'no_headword', coalesce(raw_text, '')[1:240] FROM ent WHERE NOT coalesce(regexp_matches(trim(regexp_replace(raw_text, '{_W}+', ' ', 'g')), '^[A-Za-z][A-Za-z''’-]*\\*? \\[[^\\]]+\\]')
+   OR regexp_matches(trim(regexp_extract(raw_text, '^{_W}*([^\\n\\r]*)', 1)), '^[A-Za-z][A-Za-z''’-]*\\*?$'), false)""",
+    "page_review_flags": _LATEST + """, b AS (SELECT document_version_id, page_number, count(*) AS nb, bool_or(coalesce(confidence, 0) < 0.85) AS lb FROM blk GROUP BY 1, 2), x AS (SELECT document_version_id, unnest(source_pages) AS page_number, segmentation_confidence AS c, len(source_pages) AS np FROM ent),
+ e AS (SELECT document_version_id, page_number, count(*) AS ne, bool_or(coalesce(c, 0) < 0.85) AS le, bool_or(np > 1) AS cp FROM x GROUP BY 1, 2)
+ SELECT coalesce(b.document_version_id, e.document_version_id) AS document_version_id, coalesce(b.page_number, e.page_number) AS page_number, CAST(coalesce(nb, 0) AS INT) AS n_blocks, CAST(coalesce(ne, 0) AS INT) AS n_entries,
+ concat_ws(',', CASE WHEN nb IS NULL THEN 'no_blocks' END, CASE WHEN lb THEN 'low_confidence_block' END, CASE WHEN ne IS NULL THEN 'no_entries' END, CASE WHEN le THEN 'low_confidence_entry' END, CASE WHEN cp THEN 'cross_page_entry' END) AS flags
+ FROM b FULL JOIN e ON b.document_version_id = e.document_version_id AND b.page_number = e.page_number""",
+    "page_layout": _LATEST + _LINES + """, k AS (SELECT source_block_id, string_agg(DISTINCT k0, ',' ORDER BY k0) AS kinds FROM cls GROUP BY 1), l AS (SELECT source_entry_id, entry_order, unnest(block_ids) AS b, generate_subscripts(block_ids, 1) AS i FROM ent),
+ o AS (SELECT b, count(*) AS n, bool_or(i = 1) AS st, min_by(source_entry_id, (entry_order, source_entry_id)) AS fe FROM l GROUP BY 1) SELECT page_id, blk.source_block_id AS block_id, kinds, coalesce(st, false) AS starts_entry, CAST(coalesce(n, 0) AS INT) AS n_entries, fe AS first_entry
+ FROM blk JOIN k ON blk.source_block_id = k.source_block_id LEFT JOIN o ON o.b = blk.source_block_id""",
+    "pages_without_text": _LATEST + f"SELECT DISTINCT page_id FROM blk WHERE page_id NOT IN (SELECT page_id FROM blk WHERE source_engine = 'pymupdf-native' GROUP BY 1 HAVING sum(length({_strip(chr(99) + 'oalesce(raw_text, ' + chr(39) * 2 + ')')})) >= 20)",
     "review_latest_state": _LATEST + "SELECT review_task_id, arg_max(resolution_id, resolved_at) AS resolution_id, arg_max(decision, resolved_at) AS decision, arg_max(reviewer_id, resolved_at) AS reviewer_id FROM res WHERE review_task_id IS NOT NULL GROUP BY 1",
     "review_detail": _LATEST + "SELECT r.resolution_id, r.decision, e.lemma AS entry_lemma, b.page_number FROM res r LEFT JOIN ent e ON r.source_entry_id = e.source_entry_id LEFT JOIN blk b ON e.block_ids[1] = b.source_block_id",
     "unlinked_rows": _LATEST + """SELECT 'vocabulary' AS kind, vocabulary_entry_id AS row_id FROM voc WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.source_entry_id = voc.source_entry_id)
