@@ -288,8 +288,8 @@ sen AS (SELECT source_entry_id, n, max(CASE WHEN pos THEN regexp_extract(r, '^((
   string_agg(CASE WHEN before IS NULL OR before = '' OR regexp_matches(before, '[\\x{{3400}}-\\x{{9fff}}，。；：！？、（）【】《》“”‘’]$') OR regexp_matches(d, '^[\\x{{3400}}-\\x{{9fff}}，。；：！？、（）【】《》“”‘’]') THEN '' ELSE ' ' END || d, '' ORDER BY i) AS definition FROM un6 GROUP BY ALL)
 """
 _FIELD_NAMES = "CASE mark WHEN '记' THEN 'MEMORY_NOTE' WHEN '搭' THEN 'COLLOCATION' WHEN '例' THEN 'EXAMPLE' WHEN '派' THEN 'DERIVATIVE' WHEN '同' THEN 'SYNONYM' ELSE 'ANTONYM' END"
-_PROFILE = _LATEST + f""", pp AS (SELECT page_id, sum(length(coalesce(raw_text, ''))) AS text_length, count(*) AS n_blocks,
-  sum(length(coalesce(raw_text, '')) - length(regexp_replace(coalesce(raw_text, ''), '[{IPA_LETTERS}]', '', 'g'))) AS n_phonetic, count(*) FILTER (bbox.x2 < 0.5) AS n_left, count(*) FILTER (bbox.x1 > 0.45) AS n_right,
+_PROFILE = _LATEST + f""", pp AS (SELECT page_id, CAST(sum(length(coalesce(raw_text, ''))) AS BIGINT) AS text_length, count(*) AS n_blocks,
+  CAST(sum(length(coalesce(raw_text, '')) - length(regexp_replace(coalesce(raw_text, ''), '[{IPA_LETTERS}]', '', 'g'))) AS BIGINT) AS n_phonetic, count(*) FILTER (bbox.x2 < 0.5) AS n_left, count(*) FILTER (bbox.x1 > 0.45) AS n_right,
   count(*) FILTER (source_engine <> 'pymupdf-native') AS n_recognised FROM blk GROUP BY page_id),
 pt AS (SELECT *, list_sort(list_filter([CASE WHEN n_left >= 2 AND n_right >= 2 THEN 'DOUBLE_COLUMN' END, CASE WHEN n_phonetic >= 100 THEN 'IPA_DENSE' END, CASE WHEN text_length < 200 THEN 'SPARSE' END,
   CASE WHEN n_recognised > 0 THEN 'SCANNED' END, CASE WHEN text_length >= 200 AND n_recognised = 0 THEN 'NORMAL' END], lambda x: x IS NOT NULL)) AS tl FROM pp)
@@ -306,7 +306,7 @@ SQL = {
     "squeezed_texts": _LATEST + f"SELECT sha256(t) AS digest, length(t) AS n_chars, count(*) AS n FROM (SELECT lower({_squeeze(chr(99) + 'oalesce(raw_text, ' + chr(39) * 2 + ')')}) AS t FROM blk) GROUP BY t",
     "line_class_counts": _LATEST + _LINES + "SELECT source_engine, k0 AS line_class, count(*) AS n_lines, round(avg(CASE k0 WHEN 'EMPTY' THEN 1.0 WHEN 'WORD_LIST_HEADER' THEN 0.99 WHEN 'PREVIEW_TABLE_HEADER' THEN 0.99 WHEN 'NON_ENTRY_SECTION_HEADER' THEN 0.99 WHEN 'ENTRY_HEAD' THEN 0.98 WHEN 'PREVIEW_TABLE' THEN 0.95 WHEN 'ENTRY_FIELD' THEN 0.96 WHEN 'PAGE_NUMBER' THEN 0.98 WHEN 'DECORATION' THEN 0.98 ELSE 0.6 END), 6) AS confidence FROM cls GROUP BY 1, 2",
     "segmented_entries": _LATEST + _SEGMENTS + """SELECT seg.run AS run, CAST(seg.entry_order AS INT) AS entry_order, regexp_extract(min_by(s, q), '^([A-Za-z][A-Za-z''’-]*)', 1) AS lemma, regexp_matches(min_by(s, q), '^[A-Za-z][A-Za-z''’-]*\\*') AND min_by(head, q) AS starred,
- sha256(string_agg(line, chr(10) ORDER BY q)) AS text_digest, CASE min_by(k, q) WHEN 'ENTRY_HEAD' THEN 0.98 WHEN 'BARE_HEAD' THEN 0.97 ELSE 0.8 END AS confidence, min_by(wl, q) AS word_list, count(DISTINCT source_block_id) AS n_blocks,
+ sha256(string_agg(line, chr(10) ORDER BY q)) AS text_digest, CAST(CASE min_by(k, q) WHEN 'ENTRY_HEAD' THEN 0.98 WHEN 'BARE_HEAD' THEN 0.97 ELSE 0.8 END AS DOUBLE) AS confidence, min_by(wl, q) AS word_list, count(DISTINCT source_block_id) AS n_blocks,
  coalesce((SELECT string_agg(page_number, ',' ORDER BY pg.q) FROM pg WHERE pg.run = seg.run AND pg.entry_order = seg.entry_order), '') AS pages, count(DISTINCT page_number) > 1 AS cross_page FROM seg GROUP BY seg.run, seg.entry_order""",
     "entry_links": _LATEST + _SEGMENTS + "SELECT run, CAST(entry_order AS INT) AS entry_order, CAST(row_number() OVER (PARTITION BY run, entry_order ORDER BY q) AS INT) AS block_order, source_block_id AS block_id FROM link",
     "segmentation_metrics": _LATEST + _SEGMENTS + """, z AS (SELECT run, entry_order, min_by(k, q) AS k, count(DISTINCT source_block_id) AS nb, count(DISTINCT page_number) AS np, regexp_matches(min_by(s, q), '^[A-Za-z][A-Za-z''’-]*\\*') AND min_by(head, q) AS st FROM seg GROUP BY 1, 2)

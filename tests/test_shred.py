@@ -50,3 +50,44 @@ def test_typed_pages_and_labels(spark):
 def test_deep_json_does_not_crash():
     assert shred.json_nodes("[" * 100_000, "sample_id") == (None, [])
     assert shred.json_nodes('{"a": 1}', "sample_id") == (None, [])
+
+
+def test_pages_against_plain_loops(spark, tiny):
+    import re
+
+    import pandas as pd
+
+    from pagemill.plans.copies_and_nesting import p5_found
+
+    def snake(x):
+        if isinstance(x, dict):
+            return {re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", k).lower(): snake(v) for k, v in x.items()}
+        return [snake(v) for v in x] if isinstance(x, list) else x
+
+    def listed(v, name):
+        v = snake(json.loads(v)) if isinstance(v, str) else v
+        if isinstance(v, dict):
+            return [v] if name in v else [{**x, name: k} for k, x in v.items()]
+        return [x for x in (v if v is not None else []) if x]
+
+    pages = []
+    for r in pd.read_parquet(f"{tiny}/gold_pages.parquet").to_dict("records"):
+        pages.append((r["sample_id"], r["received_at"], *[listed(r[c], "") for c in ("blocks", "entries", "vocabulary")]))
+    for r in pd.read_parquet(f"{tiny}/page_payloads.parquet").to_dict("records"):
+        try:
+            page = snake(json.loads(r["payload"]))
+        except ValueError:
+            continue
+        page = page.get("page") or (page.get("data") or {}).get("page") or page
+        b, e, v = (listed(page.get(c), i) for c, i in (("blocks", "source_block_id"), ("entries", "source_entry_id"), ("vocabulary", "vocabulary_entry_id")))
+        v += [{**w, "source_entry_id": w.get("source_entry_id") or x["source_entry_id"]} for x in e for w in x.get("vocabulary") or []]
+        pages.append((page["sample_id"], r["received_at"], b, e, v))
+    latest = {}
+    for p in sorted(pages, key=lambda p: p[1]):
+        latest[p[0]] = p
+    wanted = set()
+    for s, _, b, e, v in latest.values():
+        ids = {x["source_entry_id"] for x in e}
+        wanted |= {(s, "block", x["source_block_id"], s) for x in b} | {(s, "entry", x["source_entry_id"], s) for x in e}
+        wanted |= {(s, "vocabulary", x["vocabulary_entry_id"], x["source_entry_id"] if x.get("source_entry_id") in ids else "") for x in v}
+    assert {tuple(r) for r in p5_found(spark, tiny).collect()} == wanted
