@@ -136,6 +136,28 @@ UNION ALL SELECT 'ipa', vocabulary_entry_id FROM v WHERE regexp_matches(ipa, '[^
 UNION ALL SELECT 'definition', vocabulary_entry_id FROM v WHERE regexp_matches(definition, '[^ -~\r\nÀ-ɏ\x{4e00}-\x{9fff}，；：（）！？。、—·¬…]|^\s|\s$') OR definition <> nfc_normalize(definition)
 """
 
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94))
+_NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+
+
+def _sql_plain(c: str) -> str:
+    narrow = f"translate({c}, '{_WIDE}', '{_NARROW}')"
+    return f"regexp_replace(regexp_replace(lower({narrow}), '\\b(and|or)\\b', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+#: By edit distance with transpositions instead of n-grams: whole values, and their Latin, Chinese, bracketed and labelled parts.
+_P1_SQL = f"""
+WITH v AS (SELECT 'part_of_speech' AS field_name, vocabulary_entry_id AS row_id, part_of_speech AS value FROM (SELECT *, row_number() OVER (PARTITION BY vocabulary_entry_id ORDER BY received_at DESC) AS n FROM vocabulary_entries) WHERE n = 1
+ UNION ALL SELECT 'classification', resolution_id, classification FROM (SELECT *, row_number() OVER (PARTITION BY resolution_id ORDER BY received_at DESC) AS n FROM review_resolutions) WHERE n = 1),
+f AS (SELECT * FROM v WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM label_reference r WHERE r.list_name = v.field_name AND r.code = v.value)),
+d AS (SELECT DISTINCT field_name, value FROM f),
+s AS (SELECT field_name, value, {_sql_plain("unnest([value, regexp_replace(value, '[^A-Za-z/. ]+', '', 'g'), regexp_replace(value, '[^一-龥/]+', '', 'g'), regexp_extract(value, '^([^(:]+)', 1), regexp_extract(value, '[(:] *([^)]+)', 1)])")} AS part FROM d),
+r AS (SELECT list_name, code, {_sql_plain("unnest([code, label_en, label_zh])")} AS form FROM label_reference),
+m AS (SELECT s.field_name, s.value, r.code, min(damerau_levenshtein(part, form) / greatest(length(part), length(form))) AS far FROM s JOIN r ON s.field_name = r.list_name WHERE part <> '' GROUP BY ALL),
+b AS (SELECT field_name, value, min_by(code, far) AS code, min(far) AS far FROM m GROUP BY ALL)
+SELECT f.field_name, f.row_id, CASE WHEN b.far <= 0.37 THEN b.code ELSE 'UNMATCHED' END AS code FROM f LEFT JOIN b ON f.field_name = b.field_name AND f.value = b.value
+"""
+
 #: Every run of 12 words or 20 characters of the items against every run of the documents.
 _P6_SQL = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower({_sql_fold('text')}), '[a-zà-ɏ0-9]+|[\x{{4e00}}-\x{{9fff}}]') AS t FROM documents WHERE text IS NOT NULL),
@@ -145,4 +167,4 @@ dr AS (SELECT doc_id, k, array_to_string(t[p:p + k - 1], ' ') AS r FROM (SELECT
 SELECT DISTINCT item_id, doc_id FROM ir JOIN dr ON ir.k = dr.k AND ir.r = dr.r
 """
 
-SQL: dict[str, str] = {"p4_found": _P4_SQL, "p6_found": _P6_SQL}
+SQL: dict[str, str] = {"p1_found": _P1_SQL, "p4_found": _P4_SQL, "p6_found": _P6_SQL}
