@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import grammar as G
 from pagemill.functions.text import lines, squeezed
+from pagemill.session import materialize
 
 ORDER = ("reading_order", "block_id", "line_no")
 
@@ -66,14 +67,15 @@ def segment_lines(ordered: DataFrame, g: G.Grammar = G.BOOK) -> DataFrame:
     live = (F.coalesce("outside", F.lit(0)) == 0) & ~word_list & ~other
     preview = F.col("kind") == "PREVIEW_TABLE_HEADER"
     head = F.col("kind").isin("ENTRY_HEAD", "BARE_HEAD")
-    df = df.withColumn("live", live)
+    # each carry reads its rows twice, so its result is written before the next one
+    df = materialize(df.withColumn("live", live), "live-lines")
     df = carry(df, preview=F.when(word_list | other, 0).when(F.col("live") & preview, 1).when(F.col("live") & head, 0))
     kept = F.col("live") & (F.coalesce("preview", F.lit(0)) == 0) & ~F.col("kind").isin("PREVIEW_TABLE_HEADER", "PAGE_NUMBER", "DECORATION", "EMPTY")
     ends = word_list | other | (F.col("live") & preview)
-    df = df.withColumn("kept", kept).withColumn("ends", ends)
+    df = materialize(df.withColumn("kept", kept).withColumn("ends", ends), "kept-lines")
     # the last event: the end of a section, or a head
     event = F.when(F.col("ends"), F.struct(F.lit(False).alias("started"), F.col("place"))).when(F.col("kept") & head, F.struct(F.lit(True).alias("started"), F.col("place")))
-    df = carry(df, event=event)
+    df = materialize(carry(df, event=event), "event-lines")
     structured = df.groupBy("run").agg(F.max(F.when(F.col("kind") == "ENTRY_HEAD", 1).otherwise(0)).alias("has_heads"))
     df = df.join(structured, "run")
     section = F.when(~F.col("event.started"), F.col("event.place"))
