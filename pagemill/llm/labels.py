@@ -40,16 +40,16 @@ def parts(value: Column) -> Column:
 def grams(text: Column) -> Column:
     """Padded single characters, pairs and pairs with one character between; each with its number of occurrence."""
 
-    def cut(padded: Column) -> Column:
-        n = F.length(padded)
-        at = lambda width, step: F.transform(F.sequence(F.lit(1), n - F.lit(width - 1)), lambda i: step(i))
-        ones = F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.substring(padded, i, 1))
-        twos = at(2, lambda i: F.substring(padded, i, 2))
-        skips = F.when(n >= 3, at(3, lambda i: F.concat(F.substring(padded, i, 1), F.lit("_"), F.substring(padded, i + 2, 1)))).otherwise(F.array().cast("array<string>"))
-        return F.concat(ones, twos, skips)
+    def cut(chars: Column) -> Column:
+        n = F.size(chars)
+        joined = lambda i, step, sign: F.concat(F.get(chars, i), F.lit(sign), F.get(chars, i + step))
+        twos = F.transform(F.sequence(F.lit(0), n - 2), lambda i: joined(i, 1, ""))
+        skips = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: joined(i, 2, "_"))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.slice(chars, 2, n - 2), twos, skips)
 
-    padded = F.concat(F.lit("^"), F.regexp_replace(text, " ", ""), F.lit("$"))
-    return F.when(F.length(padded) > 2, cut(padded)).otherwise(F.array().cast("array<string>"))
+    # characters are taken from an array: positions in a string cost as much as the string is long
+    chars = F.filter(F.split(F.concat(F.lit("^"), F.regexp_replace(text, " ", ""), F.lit("$")), ""), lambda c: c != "")
+    return F.transform(F.array(chars), lambda c: F.when(F.size(c) > 2, cut(c)).otherwise(F.array().cast("array<string>")))[0]
 
 
 def _counted(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -82,27 +82,31 @@ def map_to_list(values: DataFrame, reference: DataFrame, list_col: str = "list_n
     norms = index.groupBy("__list", "__code", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     index = index.join(norms, ["__list", "__code", "form"]).select("__list", "gram", "__code", "form", "idf", (F.col("w") / F.col("norm")).alias("rw"))
 
-    distinct = values.where(F.col(value_col).isNotNull()).select(F.col(list_col).alias("__list"), F.col(value_col).alias("__value")).distinct()
-    pieces = distinct.select("__list", "__value", F.posexplode(parts(F.col("__value"))).alias("no", "part"))
-    counted = _counted(pieces, ["__list", "__value", "no", "part"], "part")
+    # rows of n-grams carry a digest of their value, not the value: it may be very long
+    distinct = values.where(F.col(value_col).isNotNull()).select(F.col(list_col).alias("__list"), F.col(value_col).alias("__value")).distinct().withColumn("__id", F.sha2("__value", 256))
+    pieces = distinct.select("__list", "__id", F.posexplode(parts(F.col("__value"))).alias("no", "part"))
+    counted = _counted(pieces, ["__list", "__id", "no"], "part")
     # grams the list does not have weigh as much as the rarest ones it has
     known = counted.join(idf, ["__list", "gram"], "left").join(per_list, "__list", "left")
     weighed = known.withColumn("w", F.sqrt("tf") * F.coalesce("idf", F.log(1 + F.coalesce("n", F.lit(1)))))
-    lengths = weighed.groupBy("__list", "__value", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    lengths = weighed.groupBy("__list", "__id", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     hits = counted.join(index, ["__list", "gram"]).withColumn("dot", F.sqrt("tf") * F.col("idf") * F.col("rw"))
+    # the distance is at least the difference in length: very long values are not measured at all
+    shorter, longer = F.least(F.length("part"), F.length("form")), F.greatest(F.length("part"), F.length("form"))
+    edit = F.when(shorter < (1 - edits) * longer, F.lit(1.0)).otherwise(F.levenshtein("part", "form") / longer)
     cosines = (
-        hits.groupBy("__list", "__value", "no", "part", "__code", "form").agg(F.sum("dot").alias("dot")).join(lengths, ["__list", "__value", "no"])
-        .select("__list", "__value", "no", "__code", (F.col("dot") / F.col("len")).alias("cos"), (F.levenshtein("part", "form") / F.greatest(F.length("part"), F.length("form"))).alias("edit"))
-    )
-    best = cosines.groupBy("__list", "__value", "no", "__code").agg(F.max("cos").alias("cos"), F.min("edit").alias("edit"))
-    n_parts = distinct.select("__list", "__value", F.greatest(F.size(parts(F.col("__value"))) - 1, F.lit(1)).alias("n_parts"))
+        hits.groupBy("__list", "__id", "no", "__code", "form").agg(F.sum("dot").alias("dot")).join(lengths, ["__list", "__id", "no"]).join(pieces, ["__list", "__id", "no"])
+        .select("__list", "__id", "no", "__code", (F.col("dot") / F.col("len")).alias("cos"), edit.alias("edit"))
+    )
+    best = cosines.groupBy("__list", "__id", "no", "__code").agg(F.max("cos").alias("cos"), F.min("edit").alias("edit"))
+    n_parts = pieces.groupBy("__list", "__id").agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("n_parts"))
     scored = (
-        best.groupBy("__list", "__value", "__code")
+        best.groupBy("__list", "__id", "__code")
         .agg(F.max(F.when(F.col("no") == 0, F.col("cos"))).alias("whole"), F.sum(F.when(F.col("no") > 0, F.col("cos"))).alias("split"), F.min(F.when(F.col("no") == 0, F.col("edit"))).alias("edit"))
-        .join(n_parts, ["__list", "__value"])
+        .join(n_parts, ["__list", "__id"])
         .withColumn("score", F.greatest(F.coalesce("whole", F.lit(0.0)), F.coalesce("split", F.lit(0.0)) / F.col("n_parts")))
     )
-    ranked = scored.groupBy("__list", "__value").agg(F.sort_array(F.collect_list(F.struct("score", "edit", F.col("__code").alias("code"))), asc=False).alias("r"))
+    ranked = scored.groupBy("__list", "__id").agg(F.sort_array(F.collect_list(F.struct("score", "edit", F.col("__code").alias("code"))), asc=False).alias("r"))
     top = F.col("r")[0]["score"]
     near = F.sort_array(F.transform(F.filter("r", lambda x: x["score"] > top - F.lit(margin)), lambda x: F.struct(F.coalesce(x["edit"], F.lit(1.0)).alias("edit"), (-x["score"]).alias("score"), x["code"].alias("code"))))
     clear = F.size("near") == 1
@@ -117,8 +121,8 @@ def map_to_list(values: DataFrame, reference: DataFrame, list_col: str = "list_n
         .when(nearer, F.col("near")[0]["code"])
         .otherwise(UNMATCHED)
     )
-    decided = ranked.withColumn("near", near).select("__list", "__value", code.alias("code"), top.alias("score"))
+    decided = ranked.withColumn("near", near).select("__list", "__id", code.alias("code"), top.alias("score"))
     return (
-        distinct.join(decided, ["__list", "__value"], "left")
+        distinct.join(decided, ["__list", "__id"], "left")
         .select(F.col("__list").alias(list_col), F.col("__value").alias(value_col), F.coalesce("code", F.lit(UNMATCHED)).alias("code"), F.coalesce("score", F.lit(0.0)).cast(T.DoubleType()).alias("score"))
     )
