@@ -43,14 +43,22 @@ def p5_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.flat_tables(shred.node_table(_pages(spark, sf_dir)), {"vocabulary": ddl})["vocabulary"]
 
 
+def p5_all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat block table of the latest delivery of each page of both tables, with every field of a block."""
+    ddl = "source_block_id string, text string, raw_text string, block_type string, reading_order int, bbox struct<x1:double,y1:double,x2:double,y2:double,unit:string>, confidence double, source_engine string"
+    table = shred.flat_tables(shred.node_table(_pages(spark, sf_dir)), {"blocks": ddl})["blocks"]
+    box = [F.col(f"bbox.{c}").alias(f"bbox_{c}") for c in ("x1", "y1", "x2", "y2", "unit")]
+    return table.select("page_id", "dewey", "parent_id", "source_block_id", "text", "raw_text", "block_type", "reading_order", *box, "confidence", "source_engine")
+
+
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat block table of the pages that come as nested columns."""
+    """The part of the flat block table that SQL can check: only pages that come as nested columns. See p5_all_blocks for the whole."""
     ddl = "source_block_id string, text string, block_type string, reading_order int, confidence double"
     pages = shred.latest_pages(shred.shred_typed(read(spark, sf_dir, "gold_pages"), "received_at"))
     return shred.flat_tables(shred.node_table(pages), {"blocks": ddl})["blocks"].select("page_id", "dewey", "parent_id", "source_block_id", "text", "block_type", "reading_order", "confidence")
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_vocabulary": p5_vocabulary, "p5_blocks": p5_blocks}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_vocabulary": p5_vocabulary, "p5_all_blocks": p5_all_blocks, "p5_blocks": p5_blocks}
 
 _MEDIA_SQL = r"""
 WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_media_id ORDER BY exported_at DESC) AS n FROM media_overlay) WHERE n = 1),

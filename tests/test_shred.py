@@ -91,3 +91,15 @@ def test_pages_against_plain_loops(spark, tiny):
         wanted |= {(s, "block", x["source_block_id"], s) for x in b} | {(s, "entry", x["source_entry_id"], s) for x in e}
         wanted |= {(s, "vocabulary", x["vocabulary_entry_id"], x["source_entry_id"] if x.get("source_entry_id") in ids else "") for x in v}
     assert {tuple(r) for r in p5_found(spark, tiny).collect()} == wanted
+
+
+def test_all_blocks_of_both_tables(spark, tiny):
+    from pagemill.plans import copies_and_nesting as plans
+
+    table = plans.QUERIES["p5_all_blocks"](spark, tiny).collect()
+    gold = {tuple(r) for r in plans.p5_blocks(spark, tiny).collect()}
+    columns = ("page_id", "dewey", "parent_id", "source_block_id", "text", "block_type", "reading_order", "confidence")
+    assert gold < {tuple(r[c] for c in columns) for r in table}
+    found = {(r["sample_id"], r["child_id"], r["parent_id"]) for r in plans.p5_found(spark, tiny).where("child_kind = 'block'").collect()}
+    assert {(r["page_id"], r["source_block_id"], r["parent_id"]) for r in table} == found
+    assert {r["bbox_unit"] for r in table} == {"normalized", None} and all(r["source_engine"] for r in table)
