@@ -1,8 +1,9 @@
 """Nested records to related flat tables by Dewey labels.
 
-Every object of a record gets its Dewey label, the path of ordinals from the root ("0.3.12": field group 3, element
-12). The label of the parent is the label without its last two ordinals, so parent links need no join over records.
-Nodes are grouped into tables by their schema path.
+The page (label "0") and every element of its collections get a Dewey label, the path of ordinals from the root
+("0.3.12": field group 3, element 12). The label of the parent is the label without its last two ordinals, so parent links
+need no join over records. Nodes are grouped into tables by their schema path. Objects and lists that are values of a
+field (a bounding box, layout tags) have no label: they are struct and array columns of the table of their owner.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NODE = "struct<path:string,dewey:string,id:string,link:string,attrs:string>"
-PAGE_COLUMNS = "page_id string, nodes array<" + NODE + ">"
 
 #: Collections of a page, the id field of their elements and the field that links them to another collection.
 COLLECTIONS = {"blocks": ("source_block_id", None), "entries": ("source_entry_id", None), "vocabulary": ("vocabulary_entry_id", "source_entry_id")}
@@ -83,8 +83,8 @@ def _elements(value, id_field: str):
     return []
 
 
-def json_nodes(payload: str, page_field: str, collections: dict[str, tuple[str, str | None]] = COLLECTIONS) -> tuple[str | None, list[dict]]:
-    """The page's id and its nodes; ``(None, [])`` for a payload that cannot be read.
+def json_page(payload: str, page_field: str, collections: dict[str, tuple[str, str | None]] = COLLECTIONS) -> tuple[str | None, str | None, list[dict]]:
+    """The page's id, its own fields as JSON and its nodes; ``(None, None, [])`` for a payload that cannot be read.
 
     The page is the outermost object with ``page_field``, in whatever envelopes. Names in camelCase are the same as
     those in snake_case. Collections nested in an element (vocabulary in entries) become nodes below it.
@@ -92,7 +92,7 @@ def json_nodes(payload: str, page_field: str, collections: dict[str, tuple[str,
     try:
         root = json.loads(payload)
     except (ValueError, TypeError, RecursionError):
-        return None, []
+        return None, None, []
     level, page = [root], None
     while level and page is None:
         deeper = []
@@ -106,7 +106,7 @@ def json_nodes(payload: str, page_field: str, collections: dict[str, tuple[str,
                 deeper += value
         level = deeper
     if page is None:
-        return None, []
+        return None, None, []
     nodes: list[dict] = []
     stack = [(page, "0")]
     while stack:
@@ -121,32 +121,46 @@ def json_nodes(payload: str, page_field: str, collections: dict[str, tuple[str,
                 nodes.append({"path": name, "dewey": at, "id": text(id_field), "link": text(link) if link else None, "attrs": json.dumps(flat, ensure_ascii=False)})
                 if any(k in collections for k in fields):
                     stack.append((child, at))
+    own = {_snake(k): v for k, v in page.items()}
     key = next(v for k, v in page.items() if _snake(k) == page_field)
-    return (None if key is None else str(key)), nodes
+    return (None if key is None else str(key)), json.dumps({k: v for k, v in own.items() if k not in collections}, ensure_ascii=False), nodes
+
+
+def json_nodes(payload: str, page_field: str, collections: dict[str, tuple[str, str | None]] = COLLECTIONS) -> tuple[str | None, list[dict]]:
+    """The page's id and its nodes; ``(None, [])`` for a payload that cannot be read."""
+    key, _, nodes = json_page(payload, page_field, collections)
+    return key, nodes
 
 
 def shred_json(df: DataFrame, payload: str, ordering: str, page_field: str = "sample_id") -> DataFrame:
-    """``page_id, ordering, nodes`` of raw JSON pages; Arrow batches, one pass, unreadable payloads left out."""
+    """``page_id, ordering, page, nodes`` of raw JSON pages; Arrow batches, one pass, unreadable payloads left out."""
 
     def run(batches):
         for batch in batches:
-            found = [json_nodes(p, page_field) for p in batch["__pm_payload"]]
-            yield pd.DataFrame({"page_id": [k for k, _ in found], "ordering": batch["__pm_at"], "nodes": [n for _, n in found]})
+            found = [json_page(p, page_field) for p in batch["__pm_payload"]]
+            yield pd.DataFrame({"page_id": [k for k, _, _ in found], "ordering": batch["__pm_at"], "page": [p for _, p, _ in found], "nodes": [n for _, _, n in found]})
 
     raw = df.where(F.col(payload).isNotNull()).select(F.col(payload).alias("__pm_payload"), F.col(ordering).alias("__pm_at"))
     kind = df.schema[ordering].dataType.simpleString()
-    return raw.mapInPandas(run, f"page_id string, ordering {kind}, nodes array<{NODE}>").where("page_id IS NOT NULL")
+    return raw.mapInPandas(run, f"page_id string, ordering {kind}, page string, nodes array<{NODE}>").where("page_id IS NOT NULL")
 
 
 def shred_typed(df: DataFrame, ordering: str, page_field: str = "sample_id") -> DataFrame:
-    """``page_id, ordering, nodes`` of pages in nested columns."""
-    return df.where(F.col(page_field).isNotNull()).select(F.col(page_field).cast("string").alias("page_id"), F.col(ordering).alias("ordering"), typed_nodes(df).alias("nodes"))
+    """``page_id, ordering, page, nodes`` of pages in nested columns; ``page`` has all columns but the collections and the ordering."""
+    page = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in COLLECTIONS and c != ordering]))
+    return df.where(F.col(page_field).isNotNull()).select(F.col(page_field).cast("string").alias("page_id"), F.col(ordering).alias("ordering"), page.alias("page"), typed_nodes(df).alias("nodes"))
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
     """The latest delivery of each page; of deliveries at the same moment the one with the greatest content hash."""
-    rank = F.struct("ordering", F.xxhash64("nodes"))
-    return pages.groupBy("page_id").agg(F.max_by("nodes", rank).alias("nodes"))
+    rank = F.struct("ordering", F.xxhash64("nodes"), F.xxhash64("page"))
+    return pages.groupBy("page_id").agg(F.max_by("page", rank).alias("page"), F.max_by("nodes", rank).alias("nodes"))
+
+
+def root_nodes(pages: DataFrame) -> DataFrame:
+    """The columns of :func:`node_table` for the pages themselves: path ``pages``, label ``0``, no parent."""
+    none = F.lit(None).cast("string")
+    return pages.select("page_id", F.lit("pages").alias("path"), F.lit("0").alias("dewey"), none.alias("parent_dewey"), F.col("page_id").alias("id"), none.alias("parent_id"), F.col("page").alias("attrs"))
 
 
 def node_table(pages: DataFrame) -> DataFrame:
@@ -168,12 +182,24 @@ def node_table(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "n.path", "n.dewey", "parent_dewey", "n.id", F.coalesce(parent, F.lit("")).alias("parent_id"), "n.attrs")
 
 
+def _listed(text: Column, kind: T.DataType) -> Column:
+    """A list from its JSON text; one value alone, as some producers write it, is a list of one."""
+    name = kind.simpleString()
+    return F.when(text.startswith("["), F.coalesce(F.from_json(text, name), F.array(text).try_cast(name))).when(text.isNotNull(), F.array(text).try_cast(name))
+
+
 def flat_tables(nodes: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """Nodes grouped by schema path into tables: keys, labels and the fields of ``schemas[path]`` (a DDL string)."""
-    return {
-        path: nodes.where(F.col("path") == path).select("page_id", "dewey", "parent_dewey", F.col("id").alias("node_id"), "parent_id", F.from_json("attrs", ddl).alias("a")).select("page_id", "dewey", "parent_dewey", "node_id", "parent_id", "a.*")
-        for path, ddl in schemas.items()
-    }
+
+    def table(path: str, ddl: str) -> DataFrame:
+        schema = T.StructType.fromDDL(ddl)
+        lists = {f.name for f in schema if isinstance(f.dataType, T.ArrayType)}
+        raw = T.StructType([T.StructField(f.name, T.StringType() if f.name in lists else f.dataType) for f in schema])
+        fields = [_listed(F.col(f"a.{f.name}"), f.dataType).alias(f.name) if f.name in lists else F.col(f"a.{f.name}") for f in schema]
+        own = nodes.where(F.col("path") == path).select("page_id", "dewey", "parent_dewey", F.col("id").alias("node_id"), "parent_id", F.from_json("attrs", raw).alias("a"))
+        return own.select("page_id", "dewey", "parent_dewey", "node_id", "parent_id", *fields)
+
+    return {path: table(path, ddl) for path, ddl in schemas.items()}
 
 
 def children(nodes: DataFrame) -> DataFrame:

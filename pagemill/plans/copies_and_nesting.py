@@ -37,6 +37,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.children(shred.node_table(_pages(spark, sf_dir)))
 
 
+def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat page table: the latest delivery of each page of both tables with its own fields."""
+    ddl = "annotation_schema_version string, document_sha256 string, page_number int, layout_tags array<string>, review_status string, reviewer_id string, page_image_sha256 string, review_notes array<string>"
+    return shred.flat_tables(shred.root_nodes(_pages(spark, sf_dir)), {"pages": ddl})["pages"].drop("parent_dewey", "node_id", "parent_id")
+
+
+def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat entry table of both tables with labels and parent links."""
+    ddl = "source_entry_id string, lemma string, raw_text string, entry_order int, segmentation_confidence double, continuation_type string, source_pages array<int>"
+    return shred.flat_tables(shred.node_table(_pages(spark, sf_dir)), {"entries": ddl})["entries"]
+
+
 def p5_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat vocabulary table with labels and parent links."""
     ddl = "vocabulary_entry_id string, source_entry_id string, lemma string, display_form string, ipa string, part_of_speech string, definition string, machine_verification_status string"
@@ -58,7 +70,7 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.flat_tables(shred.node_table(pages), {"blocks": ddl})["blocks"].select("page_id", "dewey", "parent_id", "source_block_id", "text", "block_type", "reading_order", "confidence")
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_vocabulary": p5_vocabulary, "p5_all_blocks": p5_all_blocks, "p5_blocks": p5_blocks}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_pages": p5_pages, "p5_entries": p5_entries, "p5_vocabulary": p5_vocabulary, "p5_all_blocks": p5_all_blocks, "p5_blocks": p5_blocks}
 
 _MEDIA_SQL = r"""
 WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_media_id ORDER BY exported_at DESC) AS n FROM media_overlay) WHERE n = 1),

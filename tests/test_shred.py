@@ -103,3 +103,40 @@ def test_all_blocks_of_both_tables(spark, tiny):
     found = {(r["sample_id"], r["child_id"], r["parent_id"]) for r in plans.p5_found(spark, tiny).where("child_kind = 'block'").collect()}
     assert {(r["page_id"], r["source_block_id"], r["parent_id"]) for r in table} == found
     assert {r["bbox_unit"] for r in table} == {"normalized", None} and all(r["source_engine"] for r in table)
+
+
+def test_page_and_entry_tables(spark, tiny):
+    import pandas as pd
+
+    from pagemill.plans import copies_and_nesting as plans
+
+    fields = ["annotation_schema_version", "document_sha256", "page_number", "layout_tags", "review_status", "reviewer_id", "page_image_sha256", "review_notes"]
+    latest = {}
+    for table in ("gold_pages", "page_payloads"):
+        for r in pd.read_parquet(f"{tiny}/{table}.parquet").to_dict("records"):
+            try:
+                page = r if table == "gold_pages" else json.loads(r["payload"])
+            except ValueError:
+                continue
+            page = page.get("page") or (page.get("data") or {}).get("page") or page
+            page = {shred._snake(k): v for k, v in page.items()}
+            if r["received_at"] >= latest.get(page["sample_id"], (r["received_at"],))[0]:
+                latest[page["sample_id"]] = (r["received_at"], page)
+    plain = lambda v: list(v) if hasattr(v, "tolist") or isinstance(v, list) else None if v is None or v != v else v
+    wanted = {s: [plain(p.get(f)) for f in fields] for s, (_, p) in latest.items()}
+    assert {r["page_id"]: [r[f] for f in fields] for r in plans.QUERIES["p5_pages"](spark, tiny).collect()} == wanted
+
+    table = plans.QUERIES["p5_entries"](spark, tiny).collect()
+    found = {(r["sample_id"], r["child_id"], r["parent_id"]) for r in plans.p5_found(spark, tiny).where("child_kind = 'entry'").collect()}
+    assert {(r["page_id"], r["source_entry_id"], r["parent_id"]) for r in table} == found
+    assert all(r["lemma"] and r["raw_text"] and r["source_pages"] for r in table)
+
+
+def test_root_nodes_and_lone_values(spark):
+    page = {"sampleId": "s", "pageNumber": 4, "layoutTags": "NORMAL", "reviewNotes": ["[x", "y"], "entries": [{"source_entry_id": "e", "source_pages": 7}, {"source_entry_id": "f", "source_pages": [7, 8]}, {"source_entry_id": "g"}]}
+    df = spark.createDataFrame([(json.dumps({"data": page}), "1")], "payload string, at string")
+    pages = shred.latest_pages(shred.shred_json(df, "payload", "at"))
+    nodes = shred.root_nodes(pages).unionByName(shred.node_table(pages))
+    tables = shred.flat_tables(nodes, {"pages": "page_number int, layout_tags array<string>, review_notes array<string>", "entries": "source_entry_id string, source_pages array<int>"})
+    assert [tuple(r) for r in tables["pages"].collect()] == [("s", "0", None, "s", None, 4, ["NORMAL"], ["[x", "y"])]
+    assert {(r["parent_dewey"], r["source_entry_id"], tuple(r["source_pages"] or ())) for r in tables["entries"].collect()} == {("0", "e", (7,)), ("0", "f", (7, 8)), ("0", "g", ())}
