@@ -1,8 +1,8 @@
 """One consistent form for text whose characters look the same but differ.
 
 Tokens in house form make up a vocabulary; it is kept as tries, and tokens that are not in house form walk through the
-tries with a weighted edit automaton in which look-alikes and ignorables cost nothing. A token that reaches vocabulary
-gets that spelling, any other one is normalised by table.
+tries with an automaton in which look-alikes and ignorables cost nothing. Where a character has several readings, a token
+that reaches vocabulary gets that spelling; any other one is normalised by table.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ LATIN_TWINS = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹⅭ", "D": "Ⅾ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "L": "Ⅼ", "M": "МΜⅯ", "N": "Ν", "O": "ОΟ", "P": "РΡ",
     "S": "Ѕ", "T": "ТΤ", "V": "Ⅴ", "X": "ХΧⅩ", "Y": "ΥҮ", "Z": "Ζ", "-": "‐‑‒−﹣－",
 }
+#: Characters that look like more than one Latin letter or digit; the first is the table's.
+AMBIGUOUS = {"ӏ": "lI", "∣": "lI", "Ӏ": "Il", "І": "Il", "Ι": "Il", "О": "O0", "Ο": "O0", "υ": "uv"}
+#: One letter for those that an ambiguous character may stand for, in lower case.
+_ONE_OF = str.maketrans({"i": "l", "0": "o", "v": "u"})
 #: Letters and signs that look like one of the phonetic alphabet, by that one.
 PHONETIC_TWINS = {
     "ˈ": "'’‘ʹ′´＇", "ˌ": "‚", "ː": ":：ː꞉", "ɡ": "gց", "ə": "әǝ", "ɑ": "αᾳ", "æ": "ӕ", "ʃ": "∫ſ", "θ": "ѳϴΘ", "ŋ": "ηղ", "ɛ": "εϵ", "ʒ": "ӡʓ", "ɔ": "ͻ", "ɪ": "ıɩ", "ʌ": "Λ",
@@ -122,16 +126,13 @@ class Trie:
 
 
 def _alternatives(profile: str):
+    """What a character may stand for: all look-alikes cost nothing, so the vocabulary chooses among an ambiguous one's."""
     table = TABLES[profile]
 
     def of(char: str):
-        found = [(char, 0.0)]
-        if ord(char) in table:
-            found.append((table[ord(char)], 0.0))
-        lower = char.lower()
-        if lower != char:
-            found.append((lower, 0.5))
-        return found
+        if profile != "ipa" and char in AMBIGUOUS:
+            return [(c, 0.0) for c in AMBIGUOUS[char]]
+        return [(table.get(ord(char), char), 0.0)]
 
     return of
 
@@ -157,11 +158,11 @@ def _resolve(budget: float):
 
 
 def _skeletons(df: DataFrame) -> DataFrame:
-    """``df`` with the ``bucket_key`` of each token: what is left of it under all zero-cost steps."""
+    """``df`` with the ``bucket_key`` of each token: what is left of it under all zero-cost steps, the same for all readings."""
 
     def run(batches):
         for b in batches:
-            yield b.assign(bucket_key=[fold(t, p).lower() for t, p in zip(b["token"], b["profile"])])
+            yield b.assign(bucket_key=[fold(t, p).lower().translate(_ONE_OF) for t, p in zip(b["token"], b["profile"])])
 
     return df.mapInPandas(run, "profile string, token string, n long, odd boolean, bucket_key string")
 

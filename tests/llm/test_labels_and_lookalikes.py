@@ -61,3 +61,8 @@ def test_fold_is_stable(profile):
     for c in lookalike.TABLES[profile]:
         once = lookalike.fold(chr(c), profile)
         assert lookalike.fold(once, profile) == once, hex(c)
+
+
+def test_vocabulary_chooses_among_readings(spark):
+    rows = [("1", "text", "Ivy"), ("2", "text", "ӏvy"), ("3", "text", "lamp"), ("4", "text", "Іamp"), ("5", "text", "10 cups"), ("6", "text", "1О cups"), ("7", "text", "ӏeaf"), ("8", "text", "Тhe"), ("9", "text", "the")]
+    assert house(spark, rows) == {"2": "Ivy", "4": "lamp", "6": "10 cups", "7": "leaf", "8": "The"}
