@@ -7,6 +7,7 @@ that reaches vocabulary gets that spelling; any other one is normalised by table
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -43,7 +44,7 @@ def _table(twins: dict[str, str]) -> dict[int, str]:
 
 
 def tables() -> dict[str, dict[int, str]]:
-    """``str.translate`` tables of the two profiles, made from the fixed values and Unicode's own mappings."""
+    """``str.translate`` tables of the profiles (``lemma`` is ``text`` without phonetic letters), made from the fixed values and Unicode's own mappings."""
     common = {ord(a): b for a, b in RADICAL_TWINS.items() if a != b}
     for start, end in ((0x2F00, 0x2FD6), (0xF900, 0xFAFF), (0xFF01, 0xFFEF), (0x2E80, 0x2EF4), (0xFB00, 0xFB07), (0x2160, 0x2180), (0x1D400, 0x1D7FF), (0x24B6, 0x24EA)):
         for code in range(start, end):
@@ -61,10 +62,11 @@ def tables() -> dict[str, dict[int, str]]:
     phonetic |= {0xFF07: "ˈ", 0xFF1A: "ː", 0xFF47: "ɡ"}
     latin.pop(ord("ɡ"), None)  # phonetic letters cited in running text are right there
     latin.pop(ord("ɑ"), None)
-    for table in (latin, phonetic):  # a replacement may be a look-alike itself
+    lemma = latin | {ord("ɡ"): "g", ord("ɑ"): "a"}
+    for table in (latin, lemma, phonetic):  # a replacement may be a look-alike itself
         for _ in range(3):
             table.update({k: v.translate(table) for k, v in table.items()})
-    return {"text": latin, "ipa": phonetic}
+    return {"text": latin, "lemma": lemma, "ipa": phonetic}
 
 
 TABLES = tables()
@@ -80,7 +82,10 @@ def odd_pattern(profile: str) -> str:
     if profile == "ipa":
         return "[^a-fh-z ˈˌːɡəɑæʃθðŋɪʊɔɜʌʒɒɛˈ\\-]|^ | $"
     signs = "".join(c for c in CHINESE_SIGNS)
-    return f"[^\\x00-\\x7FÀ-ɏɐ-ʣʥʨ-ʰˈ-ː一-鿿{signs}]|^\\s|\\s$"
+    phonetic = "" if profile == "lemma" else "ɐ-ʣʥʨ-ʰˈ-ː"
+    usual = f"\\x00-\\x7FÀ-ɏ{phonetic}一-鿿{signs}"
+    folded = "".join(c for c in map(chr, TABLES[profile]) if re.match(f"[{usual}]", c))  # few: a long class is slow
+    return f"[^{usual}]|[{folded}]|^\\s|\\s$"
 
 
 class Trie:
@@ -192,7 +197,7 @@ def _spaced(text: Column) -> Column:
 def house_form(df: DataFrame, key: list[str], text: str = "text", profile: str = "profile") -> DataFrame:
     """``key, house`` of the rows whose text is not in house form as it stands, ``house`` the text in house form.
 
-    ``profile`` is ``text`` or ``ipa``. Rows that are in house form are not returned (their text is its own house form).
+    ``profile`` is ``text``, ``lemma`` or ``ipa``. Rows that are in house form are not returned (their text is its own house form).
     Only rows with odd characters are cut into tokens for the join; the vocabulary comes from all rows, counted with
     map-side combination, so a hot token is one row per task.
 
@@ -200,7 +205,7 @@ def house_form(df: DataFrame, key: list[str], text: str = "text", profile: str =
     of any length are cut into tokens; repeated keys give one row each; no vocabulary leaves the table alone.
     """
     rows = df.where(F.col(text).isNotNull()).select(*key, F.col(profile).alias("profile"), F.col(text).alias("__text"))
-    is_odd = lambda c: F.when(F.col("profile") == "ipa", c.rlike(odd_pattern("ipa"))).otherwise(c.rlike(odd_pattern("text")))
+    is_odd = lambda c: F.when(F.col("profile") == "ipa", c.rlike(odd_pattern("ipa"))).when(F.col("profile") == "lemma", c.rlike(odd_pattern("lemma"))).otherwise(c.rlike(odd_pattern("text")))
     flagged = rows.withColumn("__odd", is_odd(F.col("__text")))
     words = flagged.select("profile", F.explode(_pieces(_spaced(F.col("__text")))).alias("token")).where("trim(token) <> '' AND token NOT IN ('\n', '\r', '\t')")
     counted = words.groupBy("profile", "token").agg(F.count("*").alias("n")).withColumn("odd", is_odd(F.col("token")))

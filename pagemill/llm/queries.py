@@ -61,7 +61,7 @@ def _vocabulary_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``field_name, vocabulary_entry_id, profile, text`` of the latest vocabulary rows."""
     rows = latest(read(spark, sf_dir, "vocabulary_entries"), "vocabulary_entry_id", "received_at", "lemma", "ipa", "definition")
     field = lambda name, profile: F.struct(F.lit(name).alias("field_name"), F.lit(profile).alias("profile"), F.col(name).alias("text"))
-    fields = F.array(field("lemma", "text"), field("ipa", "ipa"), field("definition", "text"))
+    fields = F.array(field("lemma", "lemma"), field("ipa", "ipa"), field("definition", "text"))
     return rows.select("vocabulary_entry_id", F.explode(fields).alias("f")).select("vocabulary_entry_id", "f.*")
 
 

@@ -66,3 +66,13 @@ def test_fold_is_stable(profile):
 def test_vocabulary_chooses_among_readings(spark):
     rows = [("1", "text", "Ivy"), ("2", "text", "ӏvy"), ("3", "text", "lamp"), ("4", "text", "Іamp"), ("5", "text", "10 cups"), ("6", "text", "1О cups"), ("7", "text", "ӏeaf"), ("8", "text", "Тhe"), ("9", "text", "the")]
     assert house(spark, rows) == {"2": "Ivy", "4": "lamp", "6": "10 cups", "7": "leaf", "8": "The"}
+
+
+def test_all_the_table_folds_is_found(spark):
+    import re
+
+    for profile in ("text", "lemma"):
+        pattern = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m.group(1), 16))), lookalike.odd_pattern(profile)))
+        assert not [hex(c) for c in lookalike.TABLES[profile] if not pattern.search(f"a{chr(c)}a")]
+    rows = [("1", "lemma", "cıty"), ("2", "lemma", "doɡ"), ("3", "text", "a ƅook 3×4"), ("4", "text", "doɡ"), ("5", "lemma", "séance"), ("6", "lemma", "ca\u0301t")]
+    assert house(spark, rows) == {"1": "city", "2": "dog", "3": "a book 3x4", "6": "cát"}
