@@ -315,6 +315,10 @@ def decisions(texts: DataFrame) -> DataFrame:
     return materialize(corrections(stats).unionByName(joins(stats)).unionByName(titles(stats)).unionByName(contexts(stats)), "scan-decisions")
 
 
+def _answers(own) -> dict[tuple[str, str], str]:
+    return {(k, key): v for k, key, v in (x.split("\u0001") for x in ([] if own is None else own))}
+
+
 def repair_texts(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``key, text, repaired, n_joined, n_furniture, n_replaced`` of every row.
 
@@ -340,22 +344,34 @@ def repair_texts(rows: DataFrame, key: list[str], text: str = "text") -> DataFra
 
         return source.mapInPandas(run, schema)
 
-    # more decisions than may be broadcast: each row fetches its own by joins
+    # more decisions than may be broadcast: each row fetches its own by joins. A decision may lead to further questions
+    # (a joined word, a header's core after correction, neighbours over a line end), so rows with new answers ask again
     placed = materialize(source.withColumn("__row", F.expr("uuid()")), "scan-rows")
 
-    def keys(batches):
+    def ask(batches):
         for b in batches:
-            out = [(r, kind, k) for r, t in zip(b["__row"], b["text"]) for kind, k in lines.keys_of(t)]
+            out = []
+            for r, t, own in zip(b["__row"], b["text"], b["__own"]):
+                table = _answers(own)
+                out += [(r, kind, k) for kind, k in lines.keys_of(t, lambda kind, k, table=table: table.get((kind, k))) if (kind, k) not in table]
             yield pd.DataFrame(out, columns=["__row", "kind", "key"])
 
-    wanted = placed.select("__row", "text").mapInPandas(keys, "__row string, kind string, key string").join(found, ["kind", "key"])
-    own = wanted.groupBy("__row").agg(F.collect_list(F.concat_ws("\u0001", "kind", "key", "value")).alias("__own"))
+    own = spark.createDataFrame([], "__row string, __own array<string>")
+    todo, answers = placed.select("__row", "text", F.lit(None).cast("array<string>").alias("__own")), None
+    while True:
+        asked = todo.mapInPandas(ask, "__row string, kind string, key string")
+        new = materialize(asked.join(found, ["kind", "key"]).select("__row", F.concat_ws("\u0001", "kind", "key", "value").alias("answer")), "scan-answers")
+        if new.isEmpty():
+            break
+        answers = new if answers is None else answers.unionByName(new)
+        own = answers.groupBy("__row").agg(F.collect_list("answer").alias("__own"))
+        todo = placed.select("__row", "text").join(own, "__row").join(new.select("__row").distinct(), "__row", "left_semi")
 
     def apply(batches):
         for b in batches:
             out = []
             for t, own in zip(b["text"], b["__own"]):
-                table = {(k, key): v for k, key, v in (x.split("\u0001") for x in ([] if own is None else own))}
+                table = _answers(own)
                 out.append(lines.repair(t, lambda kind, k, table=table: table.get((kind, k))))
             b[["repaired", "n_joined", "n_furniture", "n_replaced"]] = pd.DataFrame(out, index=b.index, columns=columns[-4:])
             yield b[columns]

@@ -206,10 +206,16 @@ def observe(text: str) -> Counter:
     return found
 
 
-def keys_of(text: str) -> set[tuple[str, str]]:
-    """The decisions that can concern a text."""
-    cores = {("t", c) for line in lines_of(tidy(text)) for c in title_cores(line)[1]}
-    return set(observe(text)) | cores | {("w", w.lower()) for w in _WORD.findall(tidy(text))}
+def keys_of(text: str, decision) -> set[tuple[str, str]]:
+    """The decisions that :func:`repair` asks for, given those that ``decision`` knows; further ones may follow from the answers."""
+    asked = {("t", c) for line in lines_of(tidy(text)) for c in title_cores(line)[1]}
+
+    def ask(kind: str, key: str):
+        asked.add((kind, key))
+        return decision(kind, key)
+
+    repair(text, ask)
+    return asked
 
 
 def repair(text: str, decision) -> tuple[str, int, int, int]:

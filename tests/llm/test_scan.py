@@ -88,3 +88,13 @@ def test_boosting():
     assert ((p > 0.5) == y[600:]).mean() > 0.9
     assert (Boosted().fit(x, np.zeros(800)).probability(x) < 0.01).all()
     assert len(Boosted().fit(np.zeros((0, 4)), np.zeros(0)).probability(np.zeros((0, 4)))) == 0
+
+
+def test_joined_decisions_that_follow_from_others(spark, monkeypatch):
+    known = [("j", "harb\tonr", "1"), ("w", "harbonr", "harbour"), ("h", "的入群", "人"), ("w", "lantcrn", "lantern"), ("t", scan_lines.core_key(TITLE), "1")]
+    monkeypatch.setattr(scan, "decisions", lambda texts: spark.createDataFrame(known, "kind string, key string, value string"))
+    rows = [("join", "the harb-\nonr of it"), ("indent", "他的\n　　入群"), ("header", f"他的\n{TITLE}\n入群"), ("core", "the temple of\nLantcrn Word Atlas\nthe garden"), ("none", "fine")]
+    for limit in (scan.BROADCAST_DECISIONS, -1):
+        monkeypatch.setattr(scan, "BROADCAST_DECISIONS", limit)
+        got = {r["id"]: r["repaired"] for r in scan.repair_texts(table(spark, rows), ["id"]).collect()}
+        assert got == {"join": "the harbour of it", "indent": "他的人群", "header": "他的人群", "core": "the temple of the garden", "none": "fine"}, limit
