@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,25 +67,74 @@ def test_split_documents(spark):
     assert split.split_documents(docs.limit(0), limits).count() == 0
 
 
+def deviations(plan):
+    """Least and greatest units of each source over its line, over all slots; every unit comes once and in order."""
+    done, sources, at = [0] * len(plan.sources), [], 0
+    for k in range(plan.epochs):
+        for slot, s, j in mix.epoch_slots(plan, k):
+            assert slot == at and j == done[s]
+            done[s], at = done[s] + 1, at + 1
+            sources.append(s)
+    assert at == plan.slots and done == plan.before(plan.slots)
+    taken, line = np.array(sources), np.arange(1, at + 1)
+    over = [np.cumsum(taken == s) - float(w) * line for s, w in enumerate(plan.weights)]
+    return min(x.min() for x in over), max(x.max() for x in over)
+
+
 def test_schedule_keeps_within_one_block():
-    blocks = {"a": 50, "b": 30, "c": 15, "d": 5}
-    got, done = mix.schedule(blocks), Counter()
-    assert len(got) == 100 and len({(s, j) for _, s, j in got}) == 100
-    for slot, source, block in got:
-        assert block == done[source]
-        done[source] += 1
-        for s, n in blocks.items():
-            assert abs(done[s] - (slot + 1) * n / 100) < 1
-    assert mix.schedule({"a": 0}) == []
-
-
-def test_quotas():
+    targets = [("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.15, 2), ("d", 0.0499, 1), ("e", 0.0001, 3)]
+    plenty = {s: 10**12 for s, _, _ in targets}
+    for slots, epoch in ((1, 16), (100, 200), (5_000, 16), (50_000, 128), (1_000_000, 4096)):
+        plan = mix.make_plan(targets, plenty, slots * 10, 10, epoch)
+        least, most = deviations(plan)
+        assert plan.slots == slots and -2 < least and most < 2, (slots, least, most)
+    assert mix.make_plan([("a", 0.5, 1)], {}, None, 10).epochs == 0
+
+
+def test_plans():
+    def units(total, available, unit=10):
+        plan = mix.make_plan(targets, available, total, unit)
+        return dict(zip(plan.sources, plan.before(plan.slots)))
+
     targets = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1)]
-    got = {q.source: q.tokens for q in mix.quotas(targets, {"a": 1000, "b": 100}, None)}
-    assert got == {"a": 333, "b": 200, "c": 0}
-    got = {q.source: q.tokens for q in mix.quotas(targets, {"a": 1000, "b": 100, "c": 50}, 1000)}
-    assert got == {"a": 750, "b": 200, "c": 50}
-    assert all(q.tokens == 0 for q in mix.quotas(targets, {}, None))
+    assert units(None, {"a": 1000, "b": 100}) == {"a": 33, "b": 20}  # b gives all it has, twice
+    assert units(1000, {"a": 1000, "b": 100, "c": 50}) == {"a": 75, "b": 20, "c": 5}
+    assert units(10**6, {"a": 1000, "b": 100, "c": 50}) == {"a": 100, "b": 20, "c": 5}
+    assert units(None, {}) == {} and units(0, {"a": 1000}) == {}
+    assert sum(units(None, {"a": 1000, "b": 1000, "c": 5}).values()) == 2  # c has half a unit
+
+
+def checked_mixture(rows, report, documents, targets, block):
+    """The promises on real rows: whole texts in order, caps, shares, and the deviation at the end of every slot."""
+    rows = rows.toPandas().sort_values(["slot", "position"])
+    report = {r["source"]: r for r in report.collect()}
+    total = rows["n_tokens"].sum()
+    assert sum(r["tokens"] for r in report.values()) == total
+    weight = {r["source"]: r["target_share"] for r in report.values() if r["available_tokens"]}
+    weight = {s: w / sum(weight.values()) for s, w in weight.items()}
+    per_slot = rows.groupby("slot").agg(source=("source", "first"), n_sources=("source", "nunique"), n=("n_tokens", "sum"))
+    assert (per_slot["n_sources"] == 1).all() and list(per_slot.index) == list(range(len(per_slot)))
+    assert (per_slot["n"] == block // 2).all()
+    upto = per_slot["n"].cumsum()
+    for s, w in weight.items():
+        assert abs((per_slot["n"] * (per_slot["source"] == s)).cumsum() - w * upto).max() < block, s
+        assert abs(report[s]["share"] - w) * total < block
+    for (s, doc, no), spans in rows.groupby(["source", "doc_id", "repeat_no"]):
+        assert no < report[s]["max_repeats"] and spans["start_token"].iloc[0] == 0
+        assert (spans["start_token"].to_numpy()[1:] == spans["end_token"].to_numpy()[:-1]).all()
+    for s, mine in rows.groupby("source"):  # the stream of a source has no gap
+        assert (mine["position"].to_numpy()[1:] == (mine["position"] + mine["n_tokens"]).to_numpy()[:-1]).all()
+    return rows, report
+
+
+@pytest.mark.parametrize("block", [2048, 256])
+def test_shares_of_real_documents(spark, block):
+    folder = "/root/testdata/sf0.01"
+    documents, targets = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/mix_targets.parquet")
+    rows, report = checked_mixture(*mix.mixture(documents, targets, block_tokens=block, rows_per_bucket=100), documents, targets, block)
+    sizes = {r["doc_id"]: count(r["text"]) for r in documents.where("text IS NOT NULL").collect()}
+    assert (rows["end_token"] <= rows["doc_id"].map(sizes)).all() and report["podcast_note"]["tokens"] == 0
+    assert sum(r["tokens"] for r in report.values()) > 20 * 2048
 
 
 def test_mixture(spark):
@@ -93,7 +143,7 @@ def test_mixture(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 3), ("gone", 0.1, 2), (None, 0.1, 1), ("z", 0.0, 1)], "source string, target_share double, max_repeats int")
     rows, report = mix.mixture(docs, targets, block_tokens=100)
     rows, report = rows.collect(), {r["source"]: r for r in report.collect()}
-    uses = Counter(r["doc_id"] for r in rows)
+    uses = Counter(doc for doc, _ in {(r["doc_id"], r["repeat_no"]) for r in rows})
     assert max(uses.values()) <= 3 and 900 not in uses and not {901, 902, 903, 904} & set(uses)
     assert all(n == 1 for d, n in uses.items() if d % 4)
     assert report["gone"]["share"] == 0.0 and report["a"]["share"] == pytest.approx(5 / 9, abs=0.02) and report["b"]["share"] == pytest.approx(4 / 9, abs=0.02)
