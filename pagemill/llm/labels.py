@@ -2,14 +2,15 @@
 
 Distinct values are normalised and cut into parts, candidates come from an inverted index of character n-grams, the
 score is a cosine of IDF-weighted n-grams, and a value is accepted above a threshold and with a margin to the next
-entry. Within the margin the entry with the smaller relative edit distance is taken.
+entry. Most n-grams do not keep the order of their letters, so letters that changed places still score.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from pagemill.session import materialize
 
 UNMATCHED = "UNMATCHED"
 
@@ -38,14 +39,21 @@ def parts(value: Column) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Padded single characters, pairs and pairs with one character between; each with its number of occurrence."""
+    """Padded pairs as they stand, and pairs, pairs with one character between and triples in the order of the alphabet.
+
+    Parts of at most three characters have their single characters too.
+    """
 
     def cut(chars: Column) -> Column:
         n = F.size(chars)
-        joined = lambda i, step, sign: F.concat(F.get(chars, i), F.lit(sign), F.get(chars, i + step))
-        twos = F.transform(F.sequence(F.lit(0), n - 2), lambda i: joined(i, 1, ""))
-        skips = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: joined(i, 2, "_"))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.slice(chars, 2, n - 2), twos, skips)
+        at = lambda i: F.get(chars, i)
+        pair = lambda a, b, sign: F.concat(F.least(a, b), F.lit(sign), F.greatest(a, b))
+        ordered = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat(at(i), at(i + 1), F.lit("\u0001")))
+        twos = F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(at(i), at(i + 1), ""))
+        skips = F.transform(F.sequence(F.lit(0), n - 3), lambda i: pair(at(i), at(i + 2), "_"))
+        threes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.array_join(F.array_sort(F.array(at(i), at(i + 1), at(i + 2))), ""))
+        ones = F.when(n <= 5, F.slice(chars, 2, n - 2)).otherwise(F.array().cast("array<string>"))
+        return F.concat(ordered, twos, skips, threes, ones)
 
     # characters are taken from an array: positions in a string cost as much as the string is long
     chars = F.filter(F.split(F.concat(F.lit("^"), F.regexp_replace(text, " ", ""), F.lit("$")), ""), lambda c: c != "")
@@ -57,72 +65,62 @@ def _counted(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.explode(grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
 
 
-def map_to_list(values: DataFrame, reference: DataFrame, list_col: str = "list_name", value_col: str = "value", threshold: float = 0.45, margin: float = 0.08, edits: float = 0.34, least: float = 0.3) -> DataFrame:
+def inverted_index(reference: DataFrame) -> DataFrame:
+    """``list, gram, code, form, idf, rw, n``: the n-grams of all forms of all entries with unit-length weights."""
+    labels = sorted(c for c in reference.columns if c.startswith("label_"))
+    forms = (
+        reference.where("code IS NOT NULL")
+        .select(F.col("list_name").alias("list"), "code", F.explode(F.array(*[F.col(c) for c in ["code", *labels]])).alias("f"))
+        .select("list", "code", normalised(F.col("f")).alias("form")).where("form <> ''").distinct()
+    )
+    weights = materialize(_counted(forms, ["list", "code", "form"], "form"), "label-forms")
+    per_list = weights.groupBy("list").agg(F.count_distinct("code", "form").alias("n"))
+    idf = weights.groupBy("list", "gram").agg(F.count("*").alias("df")).join(per_list, "list").select("list", "gram", "n", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
+    weighed = weights.join(idf, ["list", "gram"]).withColumn("w", F.sqrt("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("list", "code", "form")))
+    return materialize(weighed.select("list", "gram", "code", "form", "idf", (F.col("w") / norm).alias("rw"), "n"), "label-index")
+
+
+def map_to_list(values: DataFrame, reference: DataFrame, list_col: str = "list_name", value_col: str = "value", threshold: float = 0.34, margin: float = 0.005) -> DataFrame:
     """``list_col, value_col, code, score`` for each distinct value; ``code`` is ``UNMATCHED`` if none is meant.
 
     ``values`` has ``list_col`` and ``value_col``; ``reference`` has ``list_name, code`` and ``label_*`` columns, all
     of them surface forms of the code. Deduplication combines before its shuffle, so a value that holds a third of
     all rows costs one row per task; everything after works on distinct values.
 
+    Candidates: the most frequent n-grams of a part are not looked up as long as their weight stays under
+    ``threshold - margin`` of the part's; an entry that shares only those cannot reach the threshold, so none is lost.
+    The score is the greater of the cosine of the whole value and the mean over its parts.
+
     Defined results: null values give no row; a value of blanks or signs only is ``UNMATCHED``; with an empty
-    reference everything is; a value that is exactly a code gets that code; two entries within ``margin`` are told
-    apart by relative edit distance (at most ``edits``), and a remaining tie is ``UNMATCHED``; between ``least`` and
-    ``threshold`` that edit distance must confirm the entry; other columns of either table do not matter.
+    reference everything is; a value that is exactly a code gets that code; two entries within ``margin`` of each
+    other, and so every tie, leave a value ``UNMATCHED``; other columns of either table do not matter.
     """
-    labels = sorted(c for c in reference.columns if c.startswith("label_"))
-    forms = (
-        reference.where("code IS NOT NULL")
-        .select(F.col("list_name").alias("__list"), F.col("code").alias("__code"), F.explode(F.array(*[F.col(c) for c in ["code", *labels]])).alias("f"))
-        .select("__list", "__code", normalised(F.col("f")).alias("form")).where("form <> ''").distinct()
-    )
-    weights = _counted(forms, ["__list", "__code", "form"], "form")
-    per_list = forms.groupBy("__list").agg(F.count("*").alias("n"))
-    idf = weights.groupBy("__list", "gram").agg(F.count("*").alias("df")).join(per_list, "__list").select("__list", "gram", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    index = weights.join(idf, ["__list", "gram"]).withColumn("w", F.sqrt("tf") * F.col("idf"))
-    norms = index.groupBy("__list", "__code", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = index.join(norms, ["__list", "__code", "form"]).select("__list", "gram", "__code", "form", "idf", (F.col("w") / F.col("norm")).alias("rw"))
-
+    index = inverted_index(reference)
+    distinct = values.where(F.col(value_col).isNotNull()).select(F.col(list_col).alias("list"), F.col(value_col).alias("value")).distinct()
     # rows of n-grams carry a digest of their value, not the value: it may be very long
-    distinct = values.where(F.col(value_col).isNotNull()).select(F.col(list_col).alias("__list"), F.col(value_col).alias("__value")).distinct().withColumn("__id", F.sha2("__value", 256))
-    pieces = distinct.select("__list", "__id", F.posexplode(parts(F.col("__value"))).alias("no", "part"))
-    counted = _counted(pieces, ["__list", "__id", "no"], "part")
+    distinct = materialize(distinct.withColumn("id", F.sha2("value", 256)), "label-values")
+    pieces = distinct.select("list", "id", F.posexplode(parts(F.col("value"))).alias("no", "part"), (F.size(parts(F.col("value"))) - 1).alias("n_parts"))
+    counted = _counted(pieces, ["list", "id", "no", "n_parts"], "part")
     # grams the list does not have weigh as much as the rarest ones it has
-    known = counted.join(idf, ["__list", "gram"], "left").join(per_list, "__list", "left")
-    weighed = known.withColumn("w", F.sqrt("tf") * F.coalesce("idf", F.log(1 + F.coalesce("n", F.lit(1)))))
-    lengths = weighed.groupBy("__list", "__id", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    hits = counted.join(index, ["__list", "gram"]).withColumn("dot", F.sqrt("tf") * F.col("idf") * F.col("rw"))
-    # the distance is at least the difference in length: very long values are not measured at all
-    shorter, longer = F.least(F.length("part"), F.length("form")), F.greatest(F.length("part"), F.length("form"))
-    edit = F.when(shorter < (1 - edits) * longer, F.lit(1.0)).otherwise(F.levenshtein("part", "form") / longer)
-    cosines = (
-        hits.groupBy("__list", "__id", "no", "__code", "form").agg(F.sum("dot").alias("dot")).join(lengths, ["__list", "__id", "no"]).join(pieces, ["__list", "__id", "no"])
-        .select("__list", "__id", "no", "__code", (F.col("dot") / F.col("len")).alias("cos"), edit.alias("edit"))
-    )
-    best = cosines.groupBy("__list", "__id", "no", "__code").agg(F.max("cos").alias("cos"), F.min("edit").alias("edit"))
-    n_parts = pieces.groupBy("__list", "__id").agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("n_parts"))
-    scored = (
-        best.groupBy("__list", "__id", "__code")
-        .agg(F.max(F.when(F.col("no") == 0, F.col("cos"))).alias("whole"), F.sum(F.when(F.col("no") > 0, F.col("cos"))).alias("split"), F.min(F.when(F.col("no") == 0, F.col("edit"))).alias("edit"))
-        .join(n_parts, ["__list", "__id"])
-        .withColumn("score", F.greatest(F.coalesce("whole", F.lit(0.0)), F.coalesce("split", F.lit(0.0)) / F.col("n_parts")))
-    )
-    ranked = scored.groupBy("__list", "__id").agg(F.sort_array(F.collect_list(F.struct("score", "edit", F.col("__code").alias("code"))), asc=False).alias("r"))
-    top = F.col("r")[0]["score"]
-    near = F.sort_array(F.transform(F.filter("r", lambda x: x["score"] > top - F.lit(margin)), lambda x: F.struct(F.coalesce(x["edit"], F.lit(1.0)).alias("edit"), (-x["score"]).alias("score"), x["code"].alias("code"))))
-    clear = F.size("near") == 1
-    first, second = F.col("near")[0], F.get(F.col("near"), F.lit(1))
-    close = first["edit"] <= edits
-    nearer = close & ((first["edit"] < second["edit"]) | (first["score"] < second["score"]))
-    exact = top > F.lit(1 - 1e-9)
-    code = (
-        F.when((top < least) | ((top < threshold) & ~close), UNMATCHED)
-        .when(exact & ((F.size("r") < 2) | (F.get(F.col("r"), F.lit(1))["score"] <= F.lit(1 - 1e-9))), F.col("r")[0]["code"])
-        .when(clear, F.col("r")[0]["code"])
-        .when(nearer, F.col("near")[0]["code"])
-        .otherwise(UNMATCHED)
-    )
-    decided = ranked.withColumn("near", near).select("__list", "__id", code.alias("code"), top.alias("score"))
+    known = index.groupBy("list", "gram").agg(F.first("idf").alias("idf"))
+    rarest = index.groupBy("list").agg(F.log(1 + F.first("n")).alias("rarest"))
+    weighed = counted.join(known, ["list", "gram"], "left").join(rarest, "list", "left").withColumn("w", F.sqrt("tf") * F.coalesce("idf", "rarest", F.lit(1.0)))
+    part = Window.partitionBy("list", "id", "no")
+    frequent = part.orderBy(F.coalesce("idf", "rarest", F.lit(1.0)), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    square = F.col("w") * F.col("w")
+    ranked = weighed.select("list", "id", "no", "n_parts", "gram", F.col("idf").isNotNull().alias("listed"), "w", F.sum(square).over(part).alias("all"), F.sum(square).over(frequent).alias("upto"))
+    least = max(threshold - margin, 0.0)
+    own = materialize(ranked.where("listed").select("list", "id", "no", "n_parts", "gram", (F.col("w") / F.sqrt("all")).alias("v"), (F.col("upto") > F.lit(least * least) * F.col("all")).alias("looked_up")), "label-grams")
+    candidates = own.where("looked_up").join(index.select("list", "gram", "code"), ["list", "gram"]).select("list", "id", "code").distinct()
+    hits = own.join(candidates, ["list", "id"]).join(index.select("list", "gram", "code", "form", "rw"), ["list", "gram", "code"])
+    cosines = hits.groupBy("list", "id", "code", "no", "n_parts", "form").agg(F.sum(F.col("v") * F.col("rw")).alias("cos"))
+    best = cosines.groupBy("list", "id", "code", "no", "n_parts").agg(F.max("cos").alias("cos"))
+    scored = best.groupBy("list", "id", "code").agg(F.greatest(F.max(F.when(F.col("no") == 0, F.col("cos"))), F.sum(F.when(F.col("no") > 0, F.col("cos"))) / F.greatest(F.max("n_parts"), F.lit(1))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("list", "id").orderBy(F.desc("score"), "code"))
+    two = scored.withColumn("place", place).where("place <= 2").groupBy("list", "id").agg(F.max("score").alias("score"), F.min_by("code", "place").alias("code"), F.min("score").alias("next"), F.count("*").alias("n"))
+    clear = (F.col("score") >= threshold) & ((F.col("n") == 1) | (F.col("score") - F.col("next") >= margin))
     return (
-        distinct.join(decided, ["__list", "__id"], "left")
-        .select(F.col("__list").alias(list_col), F.col("__value").alias(value_col), F.coalesce("code", F.lit(UNMATCHED)).alias("code"), F.coalesce("score", F.lit(0.0)).cast(T.DoubleType()).alias("score"))
+        distinct.join(two.select("list", "id", F.when(clear, F.col("code")).alias("code"), "score"), ["list", "id"], "left")
+        .select(F.col("list").alias(list_col), F.col("value").alias(value_col), F.coalesce("code", F.lit(UNMATCHED)).alias("code"), F.coalesce("score", F.lit(0.0)).alias("score"))
     )

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pagemill.llm import labels, lookalike
@@ -30,6 +32,20 @@ def test_mapping_ties_and_empty(spark):
     assert mapped(spark, []) == {}
 
 
+def test_mapping_to_a_long_list(spark):
+    """Swapped letters and a hot value against 3,000 entries, by nothing but the score."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(600)]
+    names = sorted({f"{rng.choice(words)} {rng.choice(words)}" for _ in range(3000)})
+    values = {}
+    for name in rng.sample(names, 300):
+        k = rng.randrange(len(name) - 1)
+        values[name[:k] + name[k + 1] + name[k] + name[k + 2 :]] = name
+    got = mapped(spark, [("place", v) for v in values] + [("place", next(iter(values)))] * 2000 + [("place", "zzyzx quux")], [("place", n, n, None) for n in names])
+    right = sum(got["place", v] == n for v, n in values.items())
+    assert right >= 0.98 * len(values) and got["place", "zzyzx quux"] == "UNMATCHED", right
+
+
 def house(spark, rows):
     df = spark.createDataFrame([(*r, "r", "h", 1) for r in rows], "id string, profile string, text string, raw string, house string, pos int")
     return {r["id"]: r["house"] for r in lookalike.house_form(df, ["id"]).collect()}
