@@ -1,8 +1,9 @@
 """One consistent form for text whose characters look the same but differ.
 
 Tokens in house form make up a vocabulary; it is kept as tries, and tokens that are not in house form walk through the
-tries with an automaton in which look-alikes and ignorables cost nothing. Where a character has several readings, a token
-that reaches vocabulary gets that spelling; any other one is normalised by table.
+tries with a weighted automaton in which look-alikes and ignorables cost nothing and a plain letter or digit may be read as
+its double (l, I, 1) at a price. A token that reaches vocabulary within the budget gets the cheapest, then most frequent
+spelling; any other one is normalised by table.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.session import materialize, partitions_for
 
@@ -25,8 +28,12 @@ LATIN_TWINS = {
 }
 #: Characters that look like more than one Latin letter or digit; the first is the table's.
 AMBIGUOUS = {"ӏ": "lI", "∣": "lI", "Ӏ": "Il", "І": "Il", "Ι": "Il", "О": "O0", "Ο": "O0", "υ": "uv"}
+#: Plain characters that print alike; in a token with odd characters one may stand for another at ``DOUBLE_COST``.
+DOUBLES = {"I": "l1", "l": "I1", "1": "lI", "O": "0", "0": "O"}
+#: Price of reading a plain character as its double, and what a token may cost in all.
+DOUBLE_COST, BUDGET = 0.5, 1.0
 #: One letter for those that an ambiguous character may stand for, in lower case.
-_ONE_OF = str.maketrans({"i": "l", "0": "o", "v": "u"})
+_ONE_OF = str.maketrans({"i": "l", "1": "l", "0": "o", "v": "u"})
 #: Letters and signs that look like one of the phonetic alphabet, by that one.
 PHONETIC_TWINS = {
     "ˈ": "'’‘ʹ′´＇", "ˌ": "‚", "ː": ":：ː꞉", "ɡ": "gց", "ə": "әǝ", "ɑ": "αᾳ", "æ": "ӕ", "ʃ": "∫ſ", "θ": "ѳϴΘ", "ŋ": "ηղ", "ɛ": "εϵ", "ʒ": "ӡʓ", "ɔ": "ͻ", "ɪ": "ıɩ", "ʌ": "Λ",
@@ -70,6 +77,8 @@ def tables() -> dict[str, dict[int, str]]:
 
 
 TABLES = tables()
+#: Parts of a hot odd token in the join with its spelling.
+SALTS = 8
 
 
 def fold(text: str, profile: str = "text") -> str:
@@ -131,13 +140,15 @@ class Trie:
 
 
 def _alternatives(profile: str):
-    """What a character may stand for: all look-alikes cost nothing, so the vocabulary chooses among an ambiguous one's."""
+    """What a character may stand for: look-alikes cost nothing, so the vocabulary chooses among an ambiguous one's, doubles cost."""
     table = TABLES[profile]
 
     def of(char: str):
-        if profile != "ipa" and char in AMBIGUOUS:
+        if profile == "ipa":
+            return [(table.get(ord(char), char), 0.0)]
+        if char in AMBIGUOUS:
             return [(c, 0.0) for c in AMBIGUOUS[char]]
-        return [(table.get(ord(char), char), 0.0)]
+        return [(table.get(ord(char), char), 0.0), *((c, DOUBLE_COST) for c in DOUBLES.get(char, ""))]
 
     return of
 
@@ -163,7 +174,7 @@ def _resolve(budget: float):
 
 
 def _skeletons(df: DataFrame) -> DataFrame:
-    """``df`` with the ``bucket_key`` of each token: what is left of it under all zero-cost steps, the same for all readings."""
+    """``df`` with the ``bucket_key`` of each token: what is left of it under all steps, the same for all readings."""
 
     def run(batches):
         for b in batches:
@@ -172,10 +183,10 @@ def _skeletons(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "profile string, token string, n long, odd boolean, bucket_key string")
 
 
-def spellings(tokens: DataFrame, budget: float = 0.0, per_bucket: int = 50_000) -> DataFrame:
+def spellings(tokens: DataFrame, budget: float = BUDGET, per_bucket: int = 50_000) -> DataFrame:
     """``profile, token, spelling, in_vocabulary`` of the odd ones of distinct ``profile, token, n, odd``.
 
-    All zero-cost steps keep a token's skeleton, so vocabulary and odd tokens meet in buckets of skeleton hashes: each
+    All steps keep a token's skeleton, so vocabulary and odd tokens meet in buckets of skeleton hashes: each
     bucket has the whole part of the vocabulary its tokens can reach, and the number of buckets follows the number
     of distinct tokens.
     """
@@ -184,13 +195,17 @@ def spellings(tokens: DataFrame, budget: float = 0.0, per_bucket: int = 50_000)
     return keyed.groupBy("bucket").applyInPandas(_resolve(budget), "profile string, token string, spelling string, in_vocabulary boolean")
 
 
+_SEPARATORS = re.compile(r"([ \n\r\t])")
+_BLANKS = dict.fromkeys((*range(0x2000, 0x200B), 0xA0, 0x202F, 0x205F, 0x3000), " ")
+
+
 def _pieces(text: Column) -> Column:
     """Tokens and single separators in order; Unicode blanks other than line breaks count as a space."""
     return F.split(text, r"(?<=[ \n\r\t])|(?=[ \n\r\t])")
 
 
 def _spaced(text: Column) -> Column:
-    blanks = "".join(map(chr, (*range(0x2000, 0x200B), 0xA0, 0x202F, 0x205F, 0x3000)))
+    blanks = "".join(map(chr, _BLANKS))
     return F.translate(text, blanks, " " * len(blanks))
 
 
@@ -198,8 +213,9 @@ def house_form(df: DataFrame, key: list[str], text: str = "text", profile: str =
     """``key, house`` of the rows whose text is not in house form as it stands, ``house`` the text in house form.
 
     ``profile`` is ``text``, ``lemma`` or ``ipa``. Rows that are in house form are not returned (their text is its own house form).
-    Only rows with odd characters are cut into tokens for the join; the vocabulary comes from all rows, counted with
-    map-side combination, so a hot token is one row per task.
+    The vocabulary comes from all rows, counted with map-side combination, so a hot token is one row per task. Only odd
+    tokens leave their rows, each once and under a digest of the row, and meet their spellings in a salted join; the
+    texts themselves are moved once, to meet their spellings, so the shuffle is linear in their length.
 
     Defined results: null texts give no row; an empty text is in house form, one of blanks only becomes empty; texts
     of any length are cut into tokens; repeated keys give one row each; no vocabulary leaves the table alone.
@@ -209,10 +225,28 @@ def house_form(df: DataFrame, key: list[str], text: str = "text", profile: str =
     flagged = rows.withColumn("__odd", is_odd(F.col("__text")))
     words = flagged.select("profile", F.explode(_pieces(_spaced(F.col("__text")))).alias("token")).where("trim(token) <> '' AND token NOT IN ('\n', '\r', '\t')")
     counted = words.groupBy("profile", "token").agg(F.count("*").alias("n")).withColumn("odd", is_odd(F.col("token")))
-    mapping = spellings(materialize(counted, "tokens"))
-    odd_rows = flagged.where("__odd").select(*key, "profile", "__text").distinct()
-    placed = odd_rows.select(*key, "profile", "__text", F.posexplode(_pieces(_spaced(F.col("__text")))).alias("pos", "token"))
-    joined = placed.join(mapping.select("profile", "token", "spelling"), ["profile", "token"], "left")
-    whole = joined.groupBy(*key, "profile", "__text").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("spelling", "token").alias("w")))).alias("ws"))
-    house = F.regexp_replace(F.array_join(F.transform("ws", lambda x: x["w"]), ""), r"^[ \n\r\t]+|[ \n\r\t]+$", "")
-    return whole.select(*key, F.col("__text").alias("raw"), house.alias("house")).where("raw <> house")
+    mapping = spellings(materialize(counted, "tokens")).select("profile", "token", "spelling")
+    digest = F.sha2(F.concat_ws("\u0001", F.to_json(F.struct(*key, "profile")), "__text"), 256)
+    odd_rows = materialize(flagged.where("__odd").drop("__odd").distinct().withColumn("__id", digest), "odd-rows")
+    odd_tokens = odd_rows.select("__id", "profile", F.explode(F.array_distinct(F.filter(_pieces(_spaced(F.col("__text"))), is_odd))).alias("token"))
+    odd_tokens = odd_tokens.withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+    salted = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = odd_tokens.join(salted, ["profile", "token", "salt"]).groupBy("__id").agg(F.collect_list(F.struct("token", "spelling")).alias("__new"))
+    whole = odd_rows.join(found, "__id", "left").select(*key, F.col("__text").alias("raw"), "__new")
+    return _rewritten(whole).where("raw <> house")
+
+
+def _rewritten(df: DataFrame) -> DataFrame:
+    """``raw`` with its tokens respelled by ``__new`` as ``house``; Arrow batches, the other columns pass untouched."""
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != "__new"], T.StructField("house", T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            house = []
+            for text, pairs in zip(b.column("raw").to_pylist(), b.column("__new").to_pylist()):
+                new = {x["token"]: x["spelling"] for x in pairs or ()}
+                house.append("".join(new.get(w, w) for w in _SEPARATORS.split(text.translate(_BLANKS))).strip(" \n\r\t"))
+            kept = [i for i, name in enumerate(b.schema.names) if name != "__new"]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(house, pa.string())], names=[*[b.schema.names[i] for i in kept], "house"])
+
+    return df.mapInArrow(run, schema)

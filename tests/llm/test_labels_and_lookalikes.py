@@ -92,3 +92,17 @@ def test_all_the_table_folds_is_found(spark):
         assert not [hex(c) for c in lookalike.TABLES[profile] if not pattern.search(f"a{chr(c)}a")]
     rows = [("1", "lemma", "cıty"), ("2", "lemma", "doɡ"), ("3", "text", "a ƅook 3×4"), ("4", "text", "doɡ"), ("5", "lemma", "séance"), ("6", "lemma", "ca\u0301t")]
     assert house(spark, rows) == {"1": "city", "2": "dog", "3": "a book 3x4", "6": "cát"}
+
+
+def test_automaton_reads_doubles_within_its_budget(spark):
+    rows = [("1", "text", "Illinois 100 village"), ("2", "text", "lllіnois"), ("3", "text", "1О0"), ("4", "text", "viІ1age"), ("5", "text", "0О1І"), ("6", "text", "v11І1age")]
+    got = house(spark, rows)
+    assert got == {"2": "Illinois", "3": "100", "4": "village", "5": "0O1I", "6": "v11I1age"}  # the last two reach no vocabulary
+    assert lookalike.fold("lllіnois") == "lllinois" and lookalike.fold("viІ1age") == "viI1age"  # what the table alone gives
+
+
+def test_long_odd_texts(spark):
+    """Some 800 KB with 40,000 different odd tokens in one row."""
+    text = " ".join(f"wоrd{i} plain{i}" for i in range(40_000))
+    df = spark.createDataFrame([("a", "text", text)], "id string, profile string, text string")
+    assert lookalike.house_form(df, ["id"]).first()["house"] == text.replace("о", "o")
