@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -10,7 +12,7 @@ class Boosted:
 
     def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.25, bins: int = 32, least: int = 4):
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
-        self.base, self.forest = 0.0, []
+        self.base, self.forest = -9.0, []  # nothing, until it is fitted
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
@@ -76,3 +78,14 @@ class Boosted:
                     left = x[rows, f] <= cut
                     todo += [(low, rows[left]), (high, rows[~left])]
         return 1 / (1 + np.exp(-score))
+
+    def one(self, x) -> float:
+        """The probability of one row of features, without arrays."""
+        score = self.base
+        for nodes in self.forest:
+            at = 0
+            while nodes[at][0] >= 0:
+                f, cut, low, high = nodes[at]
+                at = low if x[f] <= cut else high
+            score += nodes[at][2]
+        return 1 / (1 + math.exp(-score))

@@ -2,7 +2,7 @@
 
 Corpus statistics come from one pass over all texts. Misread words meet their correction candidates through an inverted
 join on character q-grams of look-alike skeletons and boosted trees rank them; boosted trees over line pairs decide
-which word parts join over a line end and which lines are running headers. Chinese characters are judged by their
+which word parts join over a line end and which lines are page numbers and running headers. Chinese characters are judged by their
 neighbours. Decisions are made for distinct words, pairs, headers and contexts, then applied to every text.
 """
 
@@ -21,8 +21,8 @@ from pagemill.session import materialize
 
 #: Documented bound of the labelled rows on which each classifier is fitted.
 TRAINING_ROWS = 6_000
-#: Decisions up to this number are broadcast; more are joined.
-BROADCAST_DECISIONS = 400_000
+#: Decisions are broadcast up to so many bytes of their keys and values; more are joined.
+BROADCAST_BYTES = 32_000_000
 
 
 def statistics(texts: DataFrame) -> DataFrame:
@@ -49,23 +49,26 @@ def _shaped(words: DataFrame) -> DataFrame:
 
 
 def _qgrams(skeleton: Column, side: str) -> Column:
-    padded = F.concat(F.lit("^"), skeleton, F.lit("$"))
-    cut = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.concat(F.lit(side), F.substring(padded, i, 2)))
-    return F.array_distinct(cut)
+    """Positional q-grams of half a skeleton's length, with the length of the shorter of two skeletons that may meet.
+
+    Of two skeletons at most one edit apart, the shorter of length n, either the first n / 2 characters or the last
+    n - n / 2 are the same: so every such pair shares a q-gram, and a list holds only words that share half their letters.
+    """
+    def halves(n: Column) -> list[Column]:
+        first = F.floor(n / 2).cast("int")
+        sign = lambda name: F.concat(F.lit(side + name), n.cast("string"), F.lit(":"))
+        return [F.concat(sign("p"), F.left(skeleton, first)), F.concat(sign("s"), F.right(skeleton, n - first))]
+
+    return F.array(*halves(F.length(skeleton)), *halves(F.greatest(F.length(skeleton) - 1, F.lit(0))))
 
 
 def candidates(words: DataFrame, ratio: float = 3.0) -> DataFrame:
     """``word, target, n, n_target`` for words whose skeletons are at most one edit apart, the target more frequent.
 
-    Two skeletons within one edit share at least one of the three rarest of their bigrams (an edit touches two), so the
-    inverted lists are joined on those only: no frequent bigram makes a long list, and no pair is lost.
+    Words meet in inverted lists of long positional q-grams (:func:`_qgrams`), so no pair is lost and lists stay short.
     """
     shaped = materialize(_shaped(words), "scan-words")
-    grams = shaped.select("word", "n", "single", "merged", F.explode(F.concat(_qgrams(F.col("single"), "1"), _qgrams(F.col("merged"), "2"))).alias("g"))
-    frequency = grams.groupBy("g").agg(F.count("*").alias("f"))
-    ranked = grams.join(frequency, "g").groupBy("word", "n", "single", "merged").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("gs"))
-    of_side = lambda side: F.slice(F.filter("gs", lambda x: x["g"].startswith(side)), 1, 3)
-    kept = ranked.select("word", "n", "single", "merged", F.explode(F.concat(of_side("1"), of_side("2"))).alias("x")).select("word", "n", "single", "merged", F.col("x.g").alias("g"))
+    kept = shaped.select("word", "n", "single", "merged", F.explode(F.array_distinct(F.concat(_qgrams(F.col("single"), "1"), _qgrams(F.col("merged"), "2")))).alias("g"))
     left = kept.select("g", "word", "n", F.col("single").alias("s1"), F.col("merged").alias("m1"))
     right = kept.where(~F.col("word").rlike(r"[0-9@$|]")).select("g", F.col("word").alias("target"), F.col("n").alias("n_target"), F.col("single").alias("s2"), F.col("merged").alias("m2"))
     signs = F.col("word").rlike(r"[a-z][0-9@$|]|[0-9@$|][a-z]")  # no printed word looks so, however rare its target
@@ -225,34 +228,92 @@ def joins(stats: DataFrame) -> DataFrame:
 
 
 def titles(stats: DataFrame) -> DataFrame:
-    """``kind='t', key, value='1'``: the cores of running headers.
+    """``kind='t', key, value``: how often each core stands with number, unit or bar, without, and as a whole text.
 
-    Fitted on cores seen with a page number, unit or bar (their own evidence is hidden at random) against cores seen but once.
+    Cores seen but once, without any of these, are no evidence and left out.
     """
     count = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
-    cores = stats.where("kind IN ('a', 'b', 's')").groupBy("key").agg(count("a"), count("b"), count("s"))
-    features = lambda key, a, b, s: [np.log1p(a), np.log1p(b), np.log1p(s), len(key.split()), float("一" <= key[0] <= "鿿"), len(key)]
-    sample = cores.orderBy(F.xxhash64("key")).limit(TRAINING_ROWS).toPandas()
-    rng = np.random.default_rng(17)
-    x, y = [], []
-    for key, a, b, s in sample.itertuples(index=False):
-        if a >= 2 or (a >= 1 and b >= 1):
-            hidden = rng.random() < 0.2 and b >= 3
-            x.append(features(key, 0 if hidden else a - rng.integers(0, a), b, s))
-            y.append(1)
-        elif a == 0 and (b <= 2 or s == 0):
-            x.append(features(key, 0, b, s))
-            y.append(0)
-    model = Boosted(trees=40, least=2).fit(np.array(x, dtype=np.float64).reshape(len(x), 6), np.array(y))
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    cores = stats.where("kind IN ('a', 'b', 's')").groupBy("key").agg(count("a"), count("b"), count("s")).where("a > 0 OR b > 1")
+    return cores.select(F.lit("t").alias("kind"), "key", F.concat_ws(",", "a", "b", "s").alias("value"))
+
+
+#: Layouts of page numbers and running headers in print; n a page number, m a number of pages, t a title.
+LATIN_COUNTS = ("{n}", "— {n} —", "- {n} -", "[{n}]", "· {n} ·", "p. {n}", "Page {n}", "page {n} of {m}", "{n} / {m}", "{n}.", "{r}")
+HAN_COUNTS = ("{n}", "第 {n} 页", "— {n} —")
+LATIN_TITLES = ("{t}", "{t}", "{T}", "{n}   {t}", "{t}   {n}", "Unit {n} · {t}")
+HAN_TITLES = ("{t}", "{t}", "{n}   {t}", "{t}   {n}", "{t} 第{n}单元")
+
+
+def _roman(n: int) -> str:
+    out = ""
+    for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out += sign * (n // value)
+        n %= value
+    return out
+
+
+def line_sample(texts: DataFrame) -> DataFrame:
+    """``before, line, after``: a hash sample of at most ``TRAINING_ROWS`` lines with their neighbours."""
+    cut = F.filter(F.split("text", "\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    rows = texts.select(F.transform(F.array(cut), lambda ls: F.transform(ls, lambda x, i: F.struct(F.get(ls, i - 1).alias("before"), x.alias("line"), F.get(ls, i + 1).alias("after"))))[0].alias("ls"))
+    placed = rows.select(F.posexplode("ls").alias("at", "x")).select("at", "x.*")
+    return placed.orderBy(F.xxhash64("before", "line", "after"), "at").limit(TRAINING_ROWS).select("before", "line", "after")
 
-    def decide(batches):
-        for b in batches:
-            x = [features(*row) for row in b[["key", "a", "b", "s"]].itertuples(index=False)]
-            yes = (shared.value.probability(np.array(x, dtype=np.float64)) >= 0.5) if x else np.zeros(0, dtype=bool)
-            yield pd.DataFrame({"kind": "t", "key": b["key"][yes], "value": "1"})
 
-    return cores.mapInPandas(decide, "kind string, key string, value string")
+def furniture_model(sample: list[tuple], evidence: dict[str, tuple[int, int, int]], seed: int = 17) -> Boosted:
+    """Boosted trees over line pairs: furniture planted between the lines of the sample against those lines themselves.
+
+    Page numbers are printed in the usual layouts, titles are those of sampled lines that the corpus has with a number, unit
+    or bar; both may be misread, and a title's evidence is hidden in part. Sampled lines that look like furniture
+    themselves, or have such evidence, are left out: nobody has labelled them.
+    """
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    known = lambda cores: tuple(map(min, zip(*(evidence.get(c, (0, 0, 0)) for c in cores)))) if cores else (0, 0, 0)
+    x, y, plain, found = [], [], [], ([], [])
+    for before, line, after in sample:
+        facts = lines.facts_of(line)
+        seen = known(facts[2])
+        if seen[0] >= 2:
+            found["一" <= line.strip()[:1] <= "鿿"].append(line.strip())
+        if facts[0] or facts[1] or seen[0]:
+            continue
+        plain.append((before, line, after))
+        x.append(lines.line_features(before, line, after, facts, seen))
+        y.append(0)
+    for before, line, after in plain[: TRAINING_ROWS // 2]:
+        place = rng.random()
+        around = (None, None) if place < 0.4 else (before, line) if place < 0.7 else (line, after)
+        n = int(rng.integers(1, 10 ** int(rng.integers(1, 5))))
+        han = rng.random() < 0.4
+        if found[han] and rng.random() < 0.5:
+            title = pick(found[han])
+            a, b, s = known(lines.facts_of(title)[2])
+            s *= rng.random() < 0.6  # or it never was a whole text
+            adorned = lines.facts_of(title)[1]  # such a line stands as it is
+            printed = title if adorned else pick(HAN_TITLES if han else LATIN_TITLES).format(n=n, t=title, T=title.upper())
+            if rng.random() < 0.2 and b >= 4 and not adorned:  # seen without number, unit or bar only, but often
+                seen = (0, b, s)
+            else:  # of a title as frequent, or of a rarer one
+                part = float(max(a, 2)) ** -rng.random()
+                seen = (max(2, int(a * part)), int(np.ceil(b * part)) * int(rng.random() < 0.8), int(np.ceil(s * part)))
+        else:
+            printed, seen = pick(HAN_COUNTS if han else LATIN_COUNTS).format(n=n, m=n + int(rng.integers(0, 900)), r=_roman(n % 150 + 1)), (0, 0, 0)
+            if rng.random() < 0.2:
+                printed = printed.replace("1", "l").replace("0", "O")
+        facts = lines.facts_of(printed)
+        x.append(lines.line_features(*around[:1], printed, around[1], facts, seen if facts[2] else (0, 0, 0)))
+        y.append(1)
+    return Boosted(trees=60).fit(np.array(x, dtype=np.float64).reshape(len(x), -1) if x else np.zeros((0, 1)), np.array(y))
+
+
+def furniture(texts: DataFrame, found: DataFrame) -> Boosted:
+    """The classifier of line pairs, fitted on a bounded sample of the texts' lines with the evidence of the whole corpus."""
+    sample = [tuple(None if v is None else lines.tidy(v) for v in r) for r in line_sample(texts).collect()]
+    cores = sorted({c for _, line, _ in sample for c in lines.title_cores(line)[1]})
+    asked = texts.sparkSession.createDataFrame([(c,) for c in cores], "key string")
+    evidence = {r["key"]: tuple(map(int, r["value"].split(","))) for r in found.where("kind = 't'").join(F.broadcast(asked), "key", "left_semi").collect()}
+    return furniture_model(sample, evidence)
 
 
 def contexts(stats: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -319,6 +380,23 @@ def _answers(own) -> dict[tuple[str, str], str]:
     return {(k, key): v for k, key, v in (x.split("\u0001") for x in ([] if own is None else own))}
 
 
+def _asking(model: Boosted):
+    """From a table of decisions to a function that answers :func:`scan_lines.repair`; equal line features are judged once."""
+    judged: dict[tuple, bool] = {}
+
+    def asking(table: dict):
+        def answer(kind: str, key):
+            if kind != "f":
+                return table.get((kind, key))
+            if key not in judged:
+                judged[key] = model.one(key) >= 0.5
+            return judged[key]
+
+        return answer
+
+    return asking
+
+
 def repair_texts(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``key, text, repaired, n_joined, n_furniture, n_replaced`` of every row.
 
@@ -329,14 +407,15 @@ def repair_texts(rows: DataFrame, key: list[str], text: str = "text") -> DataFra
     spark = rows.sparkSession
     source = rows.where(F.col(text).isNotNull()).select(*[F.col(k) for k in key], F.col(text).alias("text"))
     found = decisions(source)
+    judge = spark.sparkContext.broadcast(furniture(source, found))
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key) + ", text string, repaired string, n_joined int, n_furniture int, n_replaced int"
     columns = [*key, "text", "repaired", "n_joined", "n_furniture", "n_replaced"]
-    if found.count() <= BROADCAST_DECISIONS:
+    size = found.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("value")), F.lit(0)).alias("n")).first()["n"]
+    if size <= BROADCAST_BYTES:
         shared = spark.sparkContext.broadcast({(r["kind"], r["key"]): r["value"] for r in found.collect()})
 
         def run(batches):
-            table = shared.value
-            look = lambda kind, k: table.get((kind, k))
+            look = _asking(judge.value)(shared.value)
             for b in batches:
                 out = [lines.repair(t, look) for t in b["text"]]
                 b[["repaired", "n_joined", "n_furniture", "n_replaced"]] = pd.DataFrame(out, index=b.index, columns=columns[-4:])
@@ -349,11 +428,12 @@ def repair_texts(rows: DataFrame, key: list[str], text: str = "text") -> DataFra
     placed = materialize(source.withColumn("__row", F.expr("uuid()")), "scan-rows")
 
     def ask(batches):
+        asking = _asking(judge.value)
         for b in batches:
             out = []
             for r, t, own in zip(b["__row"], b["text"], b["__own"]):
                 table = _answers(own)
-                out += [(r, kind, k) for kind, k in lines.keys_of(t, lambda kind, k, table=table: table.get((kind, k))) if (kind, k) not in table]
+                out += [(r, kind, k) for kind, k in lines.keys_of(t, asking(table)) if (kind, k) not in table]
             yield pd.DataFrame(out, columns=["__row", "kind", "key"])
 
     own = spark.createDataFrame([], "__row string, __own array<string>")
@@ -368,11 +448,9 @@ def repair_texts(rows: DataFrame, key: list[str], text: str = "text") -> DataFra
         todo = placed.select("__row", "text").join(own, "__row").join(new.select("__row").distinct(), "__row", "left_semi")
 
     def apply(batches):
+        asking = _asking(judge.value)
         for b in batches:
-            out = []
-            for t, own in zip(b["text"], b["__own"]):
-                table = _answers(own)
-                out.append(lines.repair(t, lambda kind, k, table=table: table.get((kind, k))))
+            out = [lines.repair(t, asking(_answers(own))) for t, own in zip(b["text"], b["__own"])]
             b[["repaired", "n_joined", "n_furniture", "n_replaced"]] = pd.DataFrame(out, index=b.index, columns=columns[-4:])
             yield b[columns]
 

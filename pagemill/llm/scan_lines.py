@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -24,13 +25,14 @@ _HYPHEN = re.compile(r"([A-Za-zÀ-ɏ0-9@]+)[-¬‐­]\s*$")
 _NEXT = re.compile(r"^\s*([A-Za-zÀ-ɏ0-9@]+)")
 _HAN = "一-鿿"
 _DIGIT = "[0-9lOoISi|]"
+_END = re.compile(r"[.!?。！？；;:：…]['\"”’）)]*\s*$")
 _ROMAN = re.compile(r"^(?=[clxvi])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
-_COUNT = re.compile(rf"^(?:[—–·\-\[(]\s*)?({_DIGIT}{{1,5}})\s*(?:[—–·\-\])]|\.)?$")
+_COUNT = re.compile(rf"^(?:[—–·\-\[(]\s*)?({_DIGIT}+)\s*(?:[—–·\-\])]|\.)?$")
 _ALL_MISREAD = re.compile(r"^(?:[lI|]{0,3}O[lIO|]{0,3}\.?|[lI|]{2,4}\.)$")
-_OF = re.compile(rf"^({_DIGIT}{{1,5}})\s*/\s*({_DIGIT}{{1,5}})$")
-_PAGE = re.compile(rf"^(\w{{4,5}})\s+({_DIGIT}{{1,5}})(?:\s+\w{{2}}\s+({_DIGIT}{{1,5}}))?$")
-_P = re.compile(rf"^p\s?\.\s*({_DIGIT}{{1,5}})$", re.I)
-_CHINESE_PAGE = re.compile(rf"^第\s*{_DIGIT}{{1,5}}\s*页$")
+_OF = re.compile(rf"^({_DIGIT}+)\s*/\s*({_DIGIT}+)$")
+_PAGE = re.compile(rf"^(\w{{4,5}})\s+({_DIGIT}+)(?:\s+\w{{2}}\s+({_DIGIT}+))?$")
+_P = re.compile(rf"^p\s?\.\s*({_DIGIT}+)$", re.I)
+_CHINESE_PAGE = re.compile(rf"^第\s*{_DIGIT}+\s*页$")
 
 
 def tidy(text: str) -> str:
@@ -53,7 +55,9 @@ def shapes(word: str) -> tuple[str, str]:
 
 
 def core_key(core: str) -> str:
-    return " ".join(shapes(core)[1].split())
+    """What readings of one title have in common; a digest if it is long."""
+    key = " ".join(shapes(core)[1].split())
+    return key if len(key) <= 120 else hashlib.sha1(key.encode()).hexdigest()
 
 
 _PAGE_WORDS = {shapes("page")[1]}
@@ -62,15 +66,15 @@ _OF_WORDS = {"ot"}
 
 
 def is_count(line: str) -> bool:
-    """A line that is a page number and nothing else, with misread digits too."""
+    """A line that looks like a page number and nothing else, with misread digits too."""
     s = line.strip()
-    if not s or len(s) > 24:
+    if not s:
         return False
     if _ALL_MISREAD.match(s):
         return True
     m = _COUNT.match(s) or _OF.match(s) or _P.match(s)
-    if m:
-        return any(c.isdigit() for c in m.group(0)) or (len(s) > len(m.group(1)) and not s[0].isalpha())
+    if m and (any(c.isdigit() for c in m.group(0)) or (len(s) > len(m.group(1)) and not s[0].isalpha())):
+        return True
     if _CHINESE_PAGE.match(s):
         return True
     m = _PAGE.match(s)
@@ -81,14 +85,14 @@ def is_count(line: str) -> bool:
 
 
 _ADORNED = (
-    re.compile(rf"^{_DIGIT}{{1,5}}\s{{2,}}(.+)$"), re.compile(rf"^(.+?)\s{{2,}}{_DIGIT}{{1,5}}$"),
-    re.compile(rf"^(.+?)\s*第\s*{_DIGIT}{{1,5}}\s*单元$"),
+    re.compile(rf"^{_DIGIT}+\s{{2,}}(.+)$"), re.compile(rf"^(.+?)\s{{2,}}{_DIGIT}+$"),
+    re.compile(rf"^(.+?)\s*第\s*{_DIGIT}+\s*单元$"),
 )
-_UNIT = re.compile(rf"^(\w{{3,5}})\s*{_DIGIT}{{1,5}}\s*[·.:\-—]\s*(.+)$")
+_UNIT = re.compile(rf"^(\w{{3,5}})\s*{_DIGIT}+\s*[·.:\-—]\s*(.+)$")
 _BAR = re.compile(r"^(.+?)\s*\|\s*(.+)$")
 _NO_TITLE = re.compile(r"[.,;:!?，。；：！？、（）()\[\]*\"“”=]")
-_LATIN_TITLE = re.compile(r"^[A-Za-zÀ-ɏ0-9@$|'’\-]+(?: [A-Za-zÀ-ɏ0-9@$|'’\-]+){1,9}$")
-_HAN_TITLE = re.compile(rf"^[{_HAN}]{{3,16}}$")
+_LATIN_TITLE = re.compile(r"^[A-Za-zÀ-ɏ0-9@$|'’\-]+(?: [A-Za-zÀ-ɏ0-9@$|'’\-]+)+$")
+_HAN_TITLE = re.compile(rf"^[{_HAN}]{{3,}}$")
 
 
 def _titled(core: str) -> str | None:
@@ -107,7 +111,7 @@ def _titled(core: str) -> str | None:
 def title_cores(line: str) -> tuple[bool, list[str]]:
     """``(adorned, cores)``: keys of what may be the title in a running header; adorned with a number, unit or bar."""
     s = line.strip()
-    if not s or len(s) > 90 or shapes(s[:9])[1].startswith(shapes("word list")[1]):
+    if not s or shapes(s[:9])[1].startswith(shapes("word list")[1]):
         return False, []
     for pattern in _ADORNED:
         m = pattern.match(s)
@@ -129,23 +133,47 @@ def lines_of(text: str) -> list[str]:
     return re.split(r"\r\n|\r|\n", text)
 
 
-def _fragments(lines: list[str]) -> list[tuple[int, int, str, str]]:
-    """``(line, next line, left, right)`` where a line ends in a word part with a hyphen; page numbers are stepped over."""
-    out = []
-    for i, line in enumerate(lines[:-1]):
-        if is_count(line):
-            continue
-        m = _HYPHEN.search(line)
-        if not m:
+def line_features(before: str | None, line: str, after: str | None, facts: tuple[bool, bool, list[str]], evidence: tuple[int, int, int]) -> tuple[int, ...]:
+    """What a pair of lines tells of the second one: small whole numbers, so that equal cases are judged once.
+
+    ``facts`` are ``(looks like a page number, adorned, cores)``, ``evidence`` how often the core stands in the corpus with
+    number, unit or bar, without, and as a whole text. ``before`` and ``after`` are the neighbours that are no blank lines.
+    """
+    s = line.strip()
+    count, adorned, cores = facts
+    words = s.split()
+    letters = [w[0] for w in words]
+    n = max(len(s), 1)
+    return (
+        count, bool(_ALL_MISREAD.match(s)), adorned, bool(cores), *(x.bit_length() for x in evidence), min(len(words), 16), len(s).bit_length(), 8 * sum(c.isdigit() for c in s) // n,
+        4 * sum(c.isupper() or c.isdigit() for c in letters) // max(len(letters), 1), "一" <= s[:1] <= "鿿", bool(_NO_TITLE.search(s)), bool(_END.search(s)), before is None, after is None,
+        before is not None and not _END.search(before), after is not None and (after.lstrip()[:1].islower() or "一" <= after.lstrip()[:1] <= "鿿"), before is not None and bool(_HYPHEN.search(before)),
+    )
+
+
+def facts_of(line: str) -> tuple[bool, bool, list[str]]:
+    adorned, cores = title_cores(line)
+    return is_count(line), adorned, cores
+
+
+def neighbours(lines: list[str], i: int) -> tuple[str | None, str | None]:
+    """The lines before and after line ``i`` that are not blank."""
+    before = next((lines[k] for k in range(i - 1, -1, -1) if lines[k].strip()), None)
+    return before, next((lines[k] for k in range(i + 1, len(lines)) if lines[k].strip()), None)
+
+
+def _fragments(lines: list[str], furniture: set[int]) -> list[tuple[int, int, str, str]]:
+    """``(line, next line, left, right)`` where a line ends in a word part with a hyphen; furniture is stepped over."""
+    out, following = [], None
+    for i in range(len(lines) - 1, -1, -1):
+        if i in furniture:
             continue
-        for j in range(i + 1, min(i + 4, len(lines))):
-            if is_count(lines[j]) or title_cores(lines[j])[0]:
-                continue
-            n = _NEXT.match(lines[j])
-            if n:
-                out.append((i, j, m.group(1).lower(), n.group(1).lower()))
-            break
-    return out
+        m = _HYPHEN.search(lines[i]) if following is not None else None
+        n = _NEXT.match(lines[following]) if m else None
+        if n:
+            out.append((i, following, m.group(1).lower(), n.group(1).lower()))
+        following = i
+    return out[::-1]
 
 
 def han_windows(text: str) -> list[tuple[int, str]]:
@@ -176,16 +204,17 @@ def observe(text: str) -> Counter:
     found: Counter = Counter()
     text = tidy(text)
     lines = lines_of(text)
+    facts = [facts_of(line) for line in lines]
     cut: dict[int, list] = {}
-    for i, j, left, right in _fragments(lines):
+    for i, j, left, right in _fragments(lines, {i for i, (count, adorned, _) in enumerate(facts) if count or adorned}):
         found["j", f"{left}\t{right}"] += 1
         cut.setdefault(i, []).append("left")
         cut.setdefault(j, []).append("right")
     body = []
     for i, line in enumerate(lines):
-        if is_count(line):
+        count, adorned, cores = facts[i]
+        if count:
             continue
-        adorned, cores = title_cores(line)
         for core in cores:
             found["a" if adorned else "b", core] += 1
             if not adorned and len(lines) == 1:
@@ -208,35 +237,52 @@ def observe(text: str) -> Counter:
 
 def keys_of(text: str, decision) -> set[tuple[str, str]]:
     """The decisions that :func:`repair` asks for, given those that ``decision`` knows; further ones may follow from the answers."""
-    asked = {("t", c) for line in lines_of(tidy(text)) for c in title_cores(line)[1]}
+    asked = set()
 
-    def ask(kind: str, key: str):
-        asked.add((kind, key))
+    def ask(kind: str, key):
+        if kind != "f":
+            asked.add((kind, key))
         return decision(kind, key)
 
     repair(text, ask)
     return asked
 
 
+def evidence_of(cores: list[str], decision) -> tuple[int, int, int]:
+    """The least evidence of all cores; each answer reads ``with,without,alone``."""
+    all_ = [tuple(map(int, (decision("t", c) or "0,0,0").split(","))) for c in cores]
+    return tuple(map(min, zip(*all_))) if all_ else (0, 0, 0)
+
+
+def furniture_of(lines: list[str], decision) -> set[int]:
+    """The lines that the classifier of line pairs takes for page numbers and running headers."""
+    found = set()
+    for i, line in enumerate(lines):
+        if not line.strip():
+            continue
+        facts = facts_of(line)
+        evidence = evidence_of(facts[2], decision)
+        if facts[2] and not any(evidence):  # a title may have misread words
+            mended = facts_of(_WORD.sub(lambda m: decision("w", m.group(0).lower()) or m.group(0), line))
+            better = evidence_of(mended[2], decision)
+            facts, evidence = (mended, better) if any(better) else (facts, evidence)
+        before, after = neighbours(lines, i)
+        if decision("f", line_features(before, line, after, facts, evidence)):
+            found.add(i)
+    return found
+
+
 def repair(text: str, decision) -> tuple[str, int, int, int]:
     """``(repaired, joined words, furniture lines, replaced characters)``.
 
-    ``decision(kind, key)`` gives a word's or context's replacement, whether parts join, whether a core is a title;
-    None for no. Lines of a paragraph are put together with a space, without one between Chinese characters.
+    ``decision(kind, key)`` gives a word's or context's replacement, whether parts join, the evidence for a title, whether
+    features are those of furniture; None for no. Lines of a paragraph are put together with a space, without one between
+    Chinese characters.
     """
     plain = tidy(text)
     lines = lines_of(plain)
-    furniture = set()
-    for i, line in enumerate(lines):
-        if is_count(line):
-            furniture.add(i)
-            continue
-        adorned, cores = title_cores(line)
-        if not adorned and cores and not all(decision("t", c) for c in cores):
-            adorned, cores = title_cores(_WORD.sub(lambda m: decision("w", m.group(0).lower()) or m.group(0), line))
-        if cores and (adorned or all(decision("t", c) for c in cores)):
-            furniture.add(i)
-    joins = {i: j for i, j, left, right in _fragments(lines) if i not in furniture and decision("j", f"{left}\t{right}")}
+    furniture = furniture_of(lines, decision)
+    joins = {i: j for i, j, left, right in _fragments(lines, furniture) if decision("j", f"{left}\t{right}")}
     kept = [i for i in range(len(lines)) if i not in furniture]
     out, gaps, join_next = "", [], False
     for i in kept:

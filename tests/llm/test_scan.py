@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -51,7 +52,7 @@ def test_joined_decisions_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(f"c{i}", wrapped(rng)) for i in range(300)] + [("x", "the tbeory of the trea-\nty"), ("y", "12"), ("z", f"{TITLE}   4\nthe temple")]
     wanted = {(r["id"], r["repaired"]) for r in scan.repair_texts(table(spark, rows), ["id"]).collect()}
-    monkeypatch.setattr(scan, "BROADCAST_DECISIONS", -1)
+    monkeypatch.setattr(scan, "BROADCAST_BYTES", -1)
     assert {(r["id"], r["repaired"]) for r in scan.repair_texts(table(spark, rows), ["id"]).collect()} == wanted
 
 
@@ -91,10 +92,81 @@ def test_boosting():
 
 
 def test_joined_decisions_that_follow_from_others(spark, monkeypatch):
-    known = [("j", "harb\tonr", "1"), ("w", "harbonr", "harbour"), ("h", "的入群", "人"), ("w", "lantcrn", "lantern"), ("t", scan_lines.core_key(TITLE), "1")]
+    known = [("j", "harb\tonr", "1"), ("w", "harbonr", "harbour"), ("h", "的入群", "人"), ("w", "lantcrn", "lantern"), ("t", scan_lines.core_key(TITLE), "9,9,2")]
+
+    rule = Boosted()  # a page number by its looks, or a core with evidence
+    rule.forest = [[(f, 0.5, 1, 2), (-1, 0.0, 0.0, 0), (-1, 0.0, 20.0, 0)] for f in (0, 4)]
+    monkeypatch.setattr(scan, "furniture", lambda texts, found: rule)
     monkeypatch.setattr(scan, "decisions", lambda texts: spark.createDataFrame(known, "kind string, key string, value string"))
     rows = [("join", "the harb-\nonr of it"), ("indent", "他的\n　　入群"), ("header", f"他的\n{TITLE}\n入群"), ("core", "the temple of\nLantcrn Word Atlas\nthe garden"), ("none", "fine")]
-    for limit in (scan.BROADCAST_DECISIONS, -1):
-        monkeypatch.setattr(scan, "BROADCAST_DECISIONS", limit)
+    for limit in (scan.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(scan, "BROADCAST_BYTES", limit)
         got = {r["id"]: r["repaired"] for r in scan.repair_texts(table(spark, rows), ["id"]).collect()}
         assert got == {"join": "the harbour of it", "indent": "他的人群", "header": "他的人群", "core": "the temple of the garden", "none": "fine"}, limit
+
+
+def plant(kind, text, titles, counts, rng):
+    """``text`` with one flaw of a kind put in, or None if it has no place for it."""
+    ls = text.split("\n")
+    if kind in ("header", "number"):
+        at = rng.randrange(len(ls) + 1)
+        n = rng.randint(1, 900)
+        line = rng.choice([f"{n}", f"— {n} —", f"Page {n}", f"第 {n} 页", f"{n} / 950"]) if kind == "number" else rng.choice(titles)
+        return "\n".join([*ls[:at], line, *ls[at:]])
+    if kind == "chinese":
+        spots = [(i, w) for i, w in scan_lines.han_windows(text) if counts["h", w] >= 8 and "^" not in w]
+        if not spots:
+            return None
+        i, w = rng.choice(spots)
+        return text[:i] + rng.choice([c for c in scan_lines._GROUP_OF[w[1]] if c != w[1]]) + text[i + 1 :]
+    bare = scan_lines.without_ipa(text)
+    spots = [m for m in scan_lines._WORD.finditer(bare) if m.group(0).islower() and m.group(0).isalpha() and len(m.group(0)) >= 6 and counts["w", m.group(0)] >= 20]
+    if not spots:
+        return None
+    m = rng.choice(spots)
+    if kind == "joined":
+        k = rng.randint(2, len(m.group(0)) - 2)
+        return text[: m.start() + k] + "-\n" + text[m.start() + k :]
+    bad = scan._corrupted(m.group(0), np.random.default_rng(rng.randrange(10**6)))
+    return bad and text[: m.start()] + bad + text[m.end() :]
+
+
+def test_planted_flaws_by_kind(spark):
+    """Each kind of flaw put into clean rows of the real tables: how many are found, and how many texts come out as they were."""
+    from pagemill.llm import queries
+
+    source = queries._scanned(spark, "/root/testdata/sf0.01")
+    rows = scan.repair_texts(source, ["table_name", "row_id"]).collect()
+    counts = Counter()
+    for r in rows:
+        counts.update(scan_lines.observe(r["text"]))
+    titles = [r["text"] for r in rows if r["n_furniture"] == 1 and "\n" not in r["text"] and not scan_lines.is_count(r["text"])]
+    clean = [r for r in rows if not r["n_furniture"] + r["n_joined"] + r["n_replaced"] and len(r["text"]) > 40]
+    rng, planted = random.Random(11), {}
+    for kind in ("joined", "latin", "chinese", "header", "number"):
+        for r in rng.sample(clean, len(clean)):
+            bad = len([k for k in planted if k[0] == kind]) < 100 and plant(kind, r["text"], titles, counts, rng)
+            if bad:
+                planted[kind, len(planted)] = (bad, r["repaired"])
+    extra = spark.createDataFrame([("planted", f"{k} {i}", bad) for (k, i), (bad, _) in planted.items()], "table_name string, row_id string, text string")
+    got = {r["row_id"]: r for r in scan.repair_texts(source.unionByName(extra), ["table_name", "row_id"]).where("table_name = 'planted'").collect()}
+    found, same, n = Counter(), Counter(), Counter()
+    for (kind, i), (_, wanted) in planted.items():
+        r = got[f"{kind} {i}"]
+        n[kind] += 1
+        found[kind] += r["n_joined"] + r["n_furniture"] + r["n_replaced"] > 0
+        same[kind] += r["repaired"] == wanted
+    print({k: (n[k], found[k], same[k]) for k in n})
+    assert all(n[k] >= 50 for k in n), n
+    assert all(found[k] >= 0.9 * n[k] for k in n), found
+    assert all(same[k] >= 0.85 * n[k] for k in n), same
+
+
+def test_without_its_models_nothing_is_furniture_or_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"c{i}", wrapped(rng)) for i in range(300)] + [(f"h{i}", f"{TITLE}   {i}") for i in range(20)] + [("cut", "the trea-\nty of it"), ("two", "the pre-\nand the temple")]
+    found = scan.repair_texts(table(spark, rows), ["id"]).where("n_furniture + n_joined > 0").select("id").collect()
+    assert {r["id"] for r in found} == {f"h{i}" for i in range(20)} | {"cut"}
+    monkeypatch.setattr(scan, "furniture", lambda texts, found: Boosted())
+    monkeypatch.setattr(scan, "joins", lambda stats: stats.select("kind", "key", stats.kind.alias("value")).where("false"))
+    assert scan.repair_texts(table(spark, rows), ["id"]).where("n_furniture + n_joined > 0").count() == 0
