@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -35,13 +37,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder is made and set, and removed
+    when the driver ends; on a cluster a folder of one machine could not be read by the others, so that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     return named
 
 
@@ -73,6 +79,20 @@ def drop_materialized() -> None:
 atexit.register(drop_materialized)
 
 
+@contextlib.contextmanager
+def intermediate_tables():
+    """Within it intermediate tables may be written; those are removed at its end. Read or write the results before.
+
+    A session that runs many queries uses one block a query, so the shared folder holds the tables of one query at most.
+    """
+    outer, _TABLES[:] = list(_TABLES), []
+    try:
+        yield
+    finally:
+        drop_materialized()
+        _TABLES[:] = outer
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint only if its counted number of rows is within ``limit``; else as it is."""
     return F.broadcast(df) if rows <= limit else df

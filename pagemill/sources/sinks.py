@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -53,7 +54,8 @@ def put_artifact(spark: SparkSession, folder: str, content: bytes, suffix: str)
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{digest[:2]}/{digest}.{suffix}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path):
-        if fs.getFileStatus(path).getLen() != len(content):
+        found = spark.read.format("binaryFile").load(path.toString()).select(F.sha2("content", 256)).first()[0]
+        if found != digest:
             raise ValueError(f"{path} holds other content")
     else:
         stream = fs.create(path, False)
@@ -63,9 +65,10 @@ def put_artifact(spark: SparkSession, folder: str, content: bytes, suffix: str)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``key, byte_size, sha256`` of every file of a folder."""
+    """``key, byte_size, sha256`` of every file of a folder; the key is the path below it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+    below = F.substring_index("path", re.sub(r"^\w+:/*", "/", path).rstrip("/") + "/", -1)
+    return files.select(below.alias("key"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
 
 
 def snapshot(df: DataFrame, path: str) -> None:
