@@ -25,6 +25,29 @@ def gold_records(vocabulary: DataFrame, entries: DataFrame) -> DataFrame:
     return j.select(F.col("vocabulary_entry_id").alias("id"), "lemma", record.alias("record"))
 
 
+def gold_dataset(vocabulary: DataFrame, entries: DataFrame, media: DataFrame) -> DataFrame:
+    """``run, id, record``: the nested published form: pronunciations, senses in order, fields by type, pages and media.
+
+    ``media``: ``vocabulary_entry_id, media_order, sha256, media_role``. A run with nothing to publish has no rows. Senses and fields
+    are those of the source entry; where it has no sense, the vocabulary's own definition stands. The record is canonical
+    JSON: names in alphabetical order, nulls kept, no blanks.
+    """
+    e = entries.select("source_entry_id", "source_pages", parse.dispatched(F.col("raw_text")).alias("p"))
+    m = media.groupBy("vocabulary_entry_id").agg(F.array_sort(F.collect_list(F.struct("media_order", "media_role", "sha256"))).alias("media"))
+    j = vocabulary.join(e, "source_entry_id", "left").join(m, "vocabulary_entry_id", "left")
+    none = lambda t: F.expr(f"cast(array() as {t})")
+    own = F.when(F.col("definition").isNotNull() | F.col("part_of_speech").isNotNull(), F.array(F.struct(F.array_compact(F.array("definition")).alias("definitions"), F.col("part_of_speech")))).otherwise(none("array<struct<definitions:array<string>,part_of_speech:string>>"))
+    read = F.transform("p.senses", lambda s: F.struct(F.array_compact(F.array(s["definition"])).alias("definitions"), s["pos"].alias("part_of_speech")))
+    types = F.array_sort(F.array_distinct(F.transform("p.fields", lambda f: f["type"])))
+    by_type = F.map_from_entries(F.transform(types, lambda t: F.struct(t.alias("t"), F.transform(F.filter("p.fields", lambda f: f["type"] == t), lambda f: f["text"]).alias("v"))))
+    record = canonical_json(
+        id=F.col("vocabulary_entry_id"), language=F.col("language"), lemma=F.col("lemma"), pronunciations=F.transform(F.array_compact(F.array("ipa")), lambda i: F.struct(F.lit(None).cast("string").alias("dialect"), i.alias("ipa"))),
+        senses=F.when(F.size("p.senses") > 0, read).otherwise(own), source_entry_id=F.col("source_entry_id"), source_fields=F.coalesce(by_type, F.expr("cast(map() as map<string,array<string>>)")),
+        source_media=F.coalesce("media", none("array<struct<media_order:int,media_role:string,sha256:string>>")), source_pages=F.coalesce("source_pages", none("array<int>")), verification_status=F.col("machine_verification_status"),
+    )
+    return j.select(F.col("processing_run_id").alias("run"), F.col("vocabulary_entry_id").alias("id"), record.alias("record"))
+
+
 #: Columns of the table form, in order; fixed values.
 TABLE_COLUMNS = ("id", "lemma", "language", "status", "ipa", "part_of_speech", "definition", "source_entry_id", "source_pages")
 

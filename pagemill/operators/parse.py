@@ -87,6 +87,33 @@ def parsed_line(text: Column, g: G.Grammar = G.BOOK) -> Column:
     return F.when(s.rlike(g.one_line), F.struct(part(1).alias("lemma"), part(2).alias("ipa"), part(3).alias("pos"), part(4).alias("definition")))
 
 
+def dispatched(text: Column, g: G.Grammar = G.BOOK) -> Column:
+    """``struct<parser, failure, lemma, ipas, senses, fields>`` by the parser that a text's form asks for.
+
+    A transcription in brackets on the first line, or a bare headword with lines below it, is an entry of the book; anything
+    else is read as one line. A text that neither parser reads has ``parser`` none and a ``failure``: no row is lost.
+    """
+    senses_of = "array<struct<pos:string,definition:string>>"
+
+    def choose(ls: Column) -> Column:
+        first = F.get(ls, F.lit(0))
+        book = (first.contains("[") & first.contains("]")) | ((F.size(ls) > 1) & squeezed(first).rlike(g.bare_head))
+        b, o = parsed(text, g), parsed_line(text, g)
+        none = F.lit(None).cast("string")
+        result = lambda parser, failure, lemma, ipas, senses, fields: F.struct(parser.alias("parser"), failure.alias("failure"), lemma.alias("lemma"), ipas.alias("ipas"), senses.alias("senses"), fields.alias("fields"))
+        empty = [F.expr(f"cast(array() as {t})") for t in ("array<string>", senses_of, "array<struct<type:string,text:string>>")]
+        sense = F.when(o["pos"].isNotNull() | o["definition"].isNotNull(), F.array(F.struct(o["pos"].alias("pos"), o["definition"].alias("definition")))).otherwise(empty[1])
+        return (
+            F.when(F.size(ls) == 0, result(none, F.lit("EMPTY_TEXT"), none, *empty))
+            .when(book & b.isNotNull(), result(F.lit("book"), none, b["lemma"], b["ipas"], b["senses"], b["fields"]))
+            .when(book, result(none, F.lit("NO_HEADWORD"), none, *empty))
+            .when(o.isNotNull(), result(F.lit("line"), none, o["lemma"], F.array_compact(F.array(o["ipa"])), sense, empty[2]))
+            .otherwise(result(none, F.lit("NO_KNOWN_FORMAT"), none, *empty))
+        )
+
+    return let(lines(F.coalesce(text, F.lit(""))), choose)
+
+
 def fields_table(entries: DataFrame, key: str, text: str) -> DataFrame:
     """``key, field_type, field_order, text, language``: the marked fields of each entry, numbered per type."""
     fields = entries.select(key, parsed(F.col(text))["fields"].alias("fs")).select(key, F.posexplode("fs").alias("i", "f"), "fs")

@@ -131,8 +131,11 @@ def review_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unlinked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that lead nowhere: vocabulary without its entry, entries with a block that is not there, reviews likewise."""
-    e, b = entries(spark, sf_dir), blocks(spark, sf_dir)
+    """Links that lead nowhere once the entries over several pages and the blocks without a confidence are withdrawn.
+
+    Vocabulary without its entry, entries with a block that is not there, reviews likewise.
+    """
+    e, b = entries(spark, sf_dir).where("size(source_pages) = 1"), blocks(spark, sf_dir).where("confidence IS NOT NULL")
     ids = e.select("source_entry_id")
     v = vocabulary(spark, sf_dir).join(ids, "source_entry_id", "left_anti").select(F.lit("vocabulary").alias("kind"), F.col("vocabulary_entry_id").alias("row_id"))
     links = e.select("source_entry_id", F.explode("block_ids").alias("source_block_id"))
@@ -340,9 +343,10 @@ SQL = {
     "pages_without_text": _LATEST + f"SELECT DISTINCT page_id FROM blk WHERE page_id NOT IN (SELECT page_id FROM blk WHERE source_engine = 'pymupdf-native' GROUP BY 1 HAVING sum(length({_strip(chr(99) + 'oalesce(raw_text, ' + chr(39) * 2 + ')')})) >= 20)",
     "review_latest_state": _LATEST + "SELECT review_task_id, arg_max(resolution_id, resolved_at) AS resolution_id, arg_max(decision, resolved_at) AS decision, arg_max(reviewer_id, resolved_at) AS reviewer_id FROM res WHERE review_task_id IS NOT NULL GROUP BY 1",
     "review_detail": _LATEST + "SELECT r.resolution_id, r.decision, e.lemma AS entry_lemma, b.page_number FROM res r LEFT JOIN ent e ON r.source_entry_id = e.source_entry_id LEFT JOIN blk b ON e.block_ids[1] = b.source_block_id",
-    "unlinked_rows": _LATEST + """SELECT 'vocabulary' AS kind, vocabulary_entry_id AS row_id FROM voc WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.source_entry_id = voc.source_entry_id)
- UNION ALL SELECT DISTINCT 'entry', source_entry_id FROM (SELECT source_entry_id, unnest(block_ids) AS b FROM ent) WHERE b NOT IN (SELECT source_block_id FROM blk)
- UNION ALL SELECT 'review', resolution_id FROM res WHERE source_entry_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ent WHERE ent.source_entry_id = res.source_entry_id)""",
+    "unlinked_rows": _LATEST + """, en AS (SELECT * FROM ent WHERE len(source_pages) = 1), bk AS (SELECT * FROM blk WHERE confidence IS NOT NULL)
+ SELECT 'vocabulary' AS kind, vocabulary_entry_id AS row_id FROM voc WHERE NOT EXISTS (SELECT 1 FROM en WHERE en.source_entry_id = voc.source_entry_id)
+ UNION ALL SELECT DISTINCT 'entry', source_entry_id FROM (SELECT source_entry_id, unnest(block_ids) AS b FROM en) WHERE b NOT IN (SELECT source_block_id FROM bk)
+ UNION ALL SELECT 'review', resolution_id FROM res WHERE source_entry_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM en WHERE en.source_entry_id = res.source_entry_id)""",
     "representation_metrics": _LATEST + f"""SELECT processing_run_id, count(*) AS n_blocks, count(DISTINCT page_id) AS n_pages, count(DISTINCT CASE WHEN {_strip("coalesce(raw_text, '')")} <> '' THEN page_id END) AS n_pages_with_text,
  count(*) FILTER (NOT coalesce(bbox.unit = 'normalized' AND bbox.x1 BETWEEN 0 AND bbox.x2 AND bbox.x2 <= 1 AND bbox.y1 BETWEEN 0 AND bbox.y2 AND bbox.y2 <= 1, false)) AS n_bad_boxes, count(*) FILTER ({_strip("coalesce(raw_text, '')")} = '') AS n_empty, round(avg(confidence), 4) AS confidence FROM blk GROUP BY 1""",
     "validation_issues": _LATEST + f"""SELECT vocabulary_entry_id, 'INVALID_LEMMA' AS issue FROM voc WHERE NOT coalesce(regexp_matches(lemma, '^[A-Za-z][A-Za-z''’-]{{0,511}}$'), false) UNION ALL SELECT vocabulary_entry_id, 'INVALID_IPA' FROM voc WHERE regexp_matches(ipa, '[0-9<>={{}}\\\\]')

@@ -97,8 +97,38 @@ SELECT sample_id AS page_id, '0.0.' || i AS dewey, sample_id AS parent_id, b.sou
   b.reading_order AS reading_order, b.confidence AS confidence FROM b WHERE b IS NOT NULL
 """
 
+def _elements(kind: str, col: str, ids: tuple[str, str]) -> str:
+    """The objects of a collection in whatever form: a list, one object, objects by their id."""
+    snake, camel = ids
+    own = f"coalesce(x->>'$.{snake}', x->>'$.{camel}')"
+    return f"""{kind}_x AS (SELECT n, unnest(json_extract({col}, '$[*]')) AS x, NULL AS k FROM dec WHERE json_type({col}) = 'ARRAY'
+ UNION ALL SELECT n, {col}, NULL FROM dec WHERE json_type({col}) = 'OBJECT' AND (json_exists({col}, '$.{snake}') OR json_exists({col}, '$.{camel}'))
+ UNION ALL SELECT n, json_extract({col}, '$."' || k || '"'), k FROM (SELECT n, {col}, unnest(json_keys({col})) AS k FROM dec WHERE json_type({col}) = 'OBJECT' AND NOT (json_exists({col}, '$.{snake}') OR json_exists({col}, '$.{camel}')))),
+{kind} AS (SELECT n, x, coalesce({own}, k) AS id FROM {kind}_x WHERE json_type(x) = 'OBJECT')"""
+#: Each form of a payload spelled out, instead of a walk through the tree.
+_CHILDREN_SQL = f"""
+WITH raw AS (SELECT CAST(payload AS JSON) AS j, received_at FROM page_payloads WHERE json_valid(payload)),
+pg AS (SELECT coalesce(j->'$.data.page', j->'$.page', j) AS p, received_at FROM raw),
+js AS (SELECT coalesce(p->>'$.sample_id', p->>'$.sampleId') AS sample_id, received_at, p FROM pg),
+del AS (SELECT sample_id, received_at, p, NULL AS g FROM js WHERE sample_id IS NOT NULL UNION ALL SELECT sample_id, received_at, NULL, {{'b': blocks, 'e': entries, 'v': vocabulary}} FROM gold_pages),
+las AS (SELECT *, row_number() OVER () AS n FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY received_at DESC) AS rn FROM del) WHERE rn = 1),
+dec AS (SELECT n, CASE WHEN json_type(p->'$.blocks') = 'VARCHAR' THEN CAST(p->>'$.blocks' AS JSON) ELSE p->'$.blocks' END AS b, CASE WHEN json_type(p->'$.entries') = 'VARCHAR' THEN CAST(p->>'$.entries' AS JSON) ELSE p->'$.entries' END AS e,
+ CASE WHEN json_type(p->'$.vocabulary') = 'VARCHAR' THEN CAST(p->>'$.vocabulary' AS JSON) ELSE p->'$.vocabulary' END AS v FROM las WHERE p IS NOT NULL),
+{_elements('bl', 'b', ('source_block_id', 'sourceBlockId'))},
+{_elements('en', 'e', ('source_entry_id', 'sourceEntryId'))},
+{_elements('vo', 'v', ('vocabulary_entry_id', 'vocabularyEntryId'))},
+nest AS (SELECT n, id AS owner, unnest(json_extract(x, '$.vocabulary[*]')) AS x FROM en WHERE json_type(x->'$.vocabulary') = 'ARRAY'),
+tb AS (SELECT n, unnest(g.b) AS c FROM las WHERE g IS NOT NULL), te AS (SELECT n, unnest(g.e) AS c FROM las WHERE g IS NOT NULL), tv AS (SELECT n, unnest(g.v) AS c FROM las WHERE g IS NOT NULL),
+ch AS (SELECT n, 'block' AS kind, id, NULL AS link FROM bl UNION ALL SELECT n, 'entry', id, NULL FROM en UNION ALL SELECT n, 'vocabulary', id, coalesce(x->>'$.source_entry_id', x->>'$.sourceEntryId') FROM vo
+ UNION ALL SELECT n, 'vocabulary', coalesce(x->>'$.vocabulary_entry_id', x->>'$.vocabularyEntryId'), coalesce(x->>'$.source_entry_id', x->>'$.sourceEntryId', owner) FROM nest
+ UNION ALL SELECT n, 'block', c.source_block_id, NULL FROM tb UNION ALL SELECT n, 'entry', c.source_entry_id, NULL FROM te UNION ALL SELECT n, 'vocabulary', c.vocabulary_entry_id, c.source_entry_id FROM tv)
+SELECT DISTINCT sample_id, kind AS child_kind, ch.id AS child_id, CASE WHEN kind <> 'vocabulary' THEN sample_id WHEN EXISTS (SELECT 1 FROM ch o WHERE o.n = ch.n AND o.kind = 'entry' AND o.id = ch.link) THEN ch.link ELSE '' END AS parent_id
+ FROM ch JOIN las ON las.n = ch.n WHERE ch.id IS NOT NULL
+"""
+
 SQL = {
     "p2_found": _MEDIA_SQL + "SELECT source_media_id, difference FROM d",
     "p2_report": _MEDIA_SQL + "SELECT * FROM d",
     "p5_blocks": _GOLD_BLOCKS_SQL,
+    "p5_found": _CHILDREN_SQL,
 }

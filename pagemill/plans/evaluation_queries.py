@@ -99,8 +99,10 @@ def header_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with blocks next to each other."""
-    b = blocks(spark, sf_dir).where("bbox IS NOT NULL").select("page_id", F.col("source_block_id").alias("block_id"), "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2")
+    """Pages with blocks next to each other, the blocks read less than surely being set as a second column."""
+    b = blocks(spark, sf_dir).where("bbox IS NOT NULL").select("page_id", F.col("source_block_id").alias("block_id"), "confidence", "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2")
+    moved = F.col("confidence") < 0.8
+    b = b.withColumns({"x1": F.when(moved, 1 + F.col("x1")).otherwise(F.col("x1")), "x2": F.when(moved, 1 + F.col("x2")).otherwise(F.col("x2")), "y1": F.when(moved, F.col("y1") - 0.04).otherwise(F.col("y1")), "y2": F.when(moved, F.col("y2") - 0.04).otherwise(F.col("y2"))})
     return media.side_by_side_pages(b)
 
 
@@ -133,8 +135,8 @@ def preflight_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unsold_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts in no line item."""
-    return read(spark, sf_dir, "part").join(read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey", "p_brand")
+    """Parts in no line item of fifty."""
+    return read(spark, sf_dir, "part").join(read(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey", "p_brand")
 
 
 def user_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,14 +202,15 @@ SQL = {
     "header_neighbours": _LATEST + """, b AS (SELECT page_id, source_block_id AS id, block_type, bbox.x1 AS x1, bbox.y1 AS y1, bbox.x2 AS x2, bbox.y2 AS y2, (bbox.y1 + bbox.y2) / 2 AS m FROM blk WHERE bbox IS NOT NULL), r AS (SELECT * FROM b WHERE block_type <> 'TEXT'), t AS (SELECT * FROM b WHERE block_type = 'TEXT')
  SELECT r.page_id, r.id AS region_id, (SELECT t.id FROM t WHERE t.page_id = r.page_id AND t.m < r.y1 ORDER BY t.y2 DESC, t.id DESC LIMIT 1) AS above_id, (SELECT t.id FROM t WHERE t.page_id = r.page_id AND t.m > r.y2 ORDER BY t.y1, t.id LIMIT 1) AS below_id,
  (SELECT count(*) FROM t WHERE t.page_id = r.page_id AND t.m >= r.y1 AND t.m <= r.y2 AND t.x1 < r.x2 AND t.x2 > r.x1) AS n_overlapping FROM r""",
-    "side_by_side": _LATEST + """, b AS (SELECT page_id, source_block_id AS id, bbox.x1 AS x1, bbox.y1 AS y1, bbox.x2 AS x2, bbox.y2 AS y2 FROM blk WHERE bbox IS NOT NULL AND bbox.y2 > bbox.y1)
+    "side_by_side": _LATEST + """, b0 AS (SELECT *, coalesce(confidence < 0.8, false) AS mv FROM blk WHERE bbox IS NOT NULL AND bbox.y2 > bbox.y1),
+ b AS (SELECT page_id, source_block_id AS id, CASE WHEN mv THEN 1 + bbox.x1 ELSE bbox.x1 END AS x1, CASE WHEN mv THEN bbox.y1 - 0.04 ELSE bbox.y1 END AS y1, CASE WHEN mv THEN 1 + bbox.x2 ELSE bbox.x2 END AS x2, CASE WHEN mv THEN bbox.y2 - 0.04 ELSE bbox.y2 END AS y2 FROM b0)
  SELECT DISTINCT a.page_id FROM b a JOIN b ON a.page_id = b.page_id AND a.x2 <= b.x1 WHERE least(a.y2, b.y2) - greatest(a.y1, b.y1) > 0.5 * least(a.y2 - a.y1, b.y2 - b.y1)""",
     "previous_page_entries": _LATEST + """, e AS (SELECT document_version_id AS document, unnest(source_pages) AS page_number, source_entry_id, entry_order FROM ent), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document, page_number ORDER BY entry_order DESC NULLS LAST, source_entry_id DESC) AS n FROM e WHERE entry_order IS NOT NULL) WHERE n = 1)
  SELECT l.document, l.page_number, l.source_entry_id AS last_entry, q.source_entry_id AS previous_entry FROM l LEFT JOIN l q ON l.document = q.document AND q.page_number = l.page_number - 1""",
     "status_counts": _LATEST + "SELECT 'vocabulary_entries{machine_verification_status=\"' || coalesce(machine_verification_status, '') || '\"} ' || count(*) AS line FROM voc GROUP BY machine_verification_status",
     "entry_page_two": _LATEST + "SELECT source_entry_id, lemma, created_at FROM ent ORDER BY created_at DESC, source_entry_id LIMIT 50 OFFSET 50",
     "preflight_chain": "SELECT c_mktsegment, p_brand, count(DISTINCT o_orderkey) AS n_orders, count(DISTINCT l_partkey) AS n_parts, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
-    "unsold_parts": "SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)",
+    "unsold_parts": "SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 50)",
     "user_latest_state": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "user_islands": """WITH d AS (SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INT) AS day FROM events), s AS (SELECT *, CASE WHEN lag(day) OVER (PARTITION BY user_id ORDER BY day) = day - 1 THEN 0 ELSE 1 END AS st FROM d), i AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY day) AS isl FROM s)
  SELECT user_id, min(day) AS first_page, max(day) AS last_page, count(*) AS n_pages FROM i GROUP BY user_id, isl""",

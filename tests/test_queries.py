@@ -8,9 +8,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from pagemill.plans import book_queries, copies_and_nesting, evaluation_queries
+from pagemill.plans import book_queries, copies_and_nesting, evaluation_queries, page_queries
 
-PARTS = [book_queries, evaluation_queries, copies_and_nesting]
+PARTS = [book_queries, evaluation_queries, page_queries, copies_and_nesting]
 QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
 SQL = {k: q for p in PARTS for k, q in p.SQL.items()}
 
