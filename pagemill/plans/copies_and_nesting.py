@@ -70,7 +70,19 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.flat_tables(shred.node_table(pages), {"blocks": ddl})["blocks"].select("page_id", "dewey", "parent_id", "source_block_id", "text", "block_type", "reading_order", "confidence")
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_pages": p5_pages, "p5_entries": p5_entries, "p5_vocabulary": p5_vocabulary, "p5_all_blocks": p5_all_blocks, "p5_blocks": p5_blocks}
+def p5_payload_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many payloads were read, hold no page, or cannot be read."""
+    return shred.payload_states(read(spark, sf_dir, "page_payloads"), "payload")
+
+
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of the latest pages: rows and pages of each schema path, as found in the data."""
+    pages = _pages(spark, sf_dir)
+    nodes = shred.root_nodes(pages).unionByName(shred.node_table(pages))
+    return nodes.groupBy("path").agg(F.count("*").alias("n_nodes"), F.count_distinct("page_id").alias("n_pages"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_pages": p5_pages, "p5_entries": p5_entries, "p5_vocabulary": p5_vocabulary, "p5_all_blocks": p5_all_blocks, "p5_blocks": p5_blocks, "p5_payload_states": p5_payload_states, "p5_paths": p5_paths}
 
 _MEDIA_SQL = r"""
 WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_media_id ORDER BY exported_at DESC) AS n FROM media_overlay) WHERE n = 1),
@@ -98,15 +110,22 @@ SELECT sample_id AS page_id, '0.0.' || i AS dewey, sample_id AS parent_id, b.sou
 """
 
 def _elements(kind: str, col: str, ids: tuple[str, str]) -> str:
-    """The objects of a collection in whatever form: a list, one object, objects by their id."""
+    """The objects of a collection in whatever form: a list, one object, objects by their id; with their places."""
     snake, camel = ids
     own = f"coalesce(x->>'$.{snake}', x->>'$.{camel}')"
-    return f"""{kind}_x AS (SELECT n, unnest(json_extract({col}, '$[*]')) AS x, NULL AS k FROM dec WHERE json_type({col}) = 'ARRAY'
- UNION ALL SELECT n, {col}, NULL FROM dec WHERE json_type({col}) = 'OBJECT' AND (json_exists({col}, '$.{snake}') OR json_exists({col}, '$.{camel}'))
- UNION ALL SELECT n, json_extract({col}, '$."' || k || '"'), k FROM (SELECT n, {col}, unnest(json_keys({col})) AS k FROM dec WHERE json_type({col}) = 'OBJECT' AND NOT (json_exists({col}, '$.{snake}') OR json_exists({col}, '$.{camel}')))),
-{kind} AS (SELECT n, x, coalesce({own}, k) AS id FROM {kind}_x WHERE json_type(x) = 'OBJECT')"""
+    single = f"(json_exists({col}, '$.{snake}') OR json_exists({col}, '$.{camel}'))"
+    return f"""{kind}_x AS (SELECT n, unnest(json_extract({col}, '$[*]')) AS x, NULL AS k, generate_subscripts(json_extract({col}, '$[*]'), 1) - 1 AS i FROM dec WHERE json_type({col}) = 'ARRAY'
+ UNION ALL SELECT n, {col}, NULL, 0 FROM dec WHERE json_type({col}) = 'OBJECT' AND {single}
+ UNION ALL SELECT n, json_extract({col}, '$."' || k || '"'), k, i FROM (SELECT n, {col}, unnest(json_keys({col})) AS k, generate_subscripts(json_keys({col}), 1) - 1 AS i FROM dec WHERE json_type({col}) = 'OBJECT' AND NOT {single})),
+{kind} AS (SELECT n, x, i, coalesce({own}, k) AS id FROM {kind}_x WHERE json_type(x) = 'OBJECT')"""
+
+
+def _text(*names: str) -> str:
+    return "coalesce(" + ", ".join(f"x->>'$.{n}'" for n in names) + ")"
+
+
 #: Each form of a payload spelled out, instead of a walk through the tree.
-_CHILDREN_SQL = f"""
+_NODES_SQL = f"""
 WITH raw AS (SELECT CAST(payload AS JSON) AS j, received_at FROM page_payloads WHERE json_valid(payload)),
 pg AS (SELECT coalesce(j->'$.data.page', j->'$.page', j) AS p, received_at FROM raw),
 js AS (SELECT coalesce(p->>'$.sample_id', p->>'$.sampleId') AS sample_id, received_at, p FROM pg),
@@ -117,18 +136,32 @@ dec AS (SELECT n, CASE WHEN json_type(p->'$.blocks') = 'VARCHAR' THEN CAST(p->>'
 {_elements('bl', 'b', ('source_block_id', 'sourceBlockId'))},
 {_elements('en', 'e', ('source_entry_id', 'sourceEntryId'))},
 {_elements('vo', 'v', ('vocabulary_entry_id', 'vocabularyEntryId'))},
-nest AS (SELECT n, id AS owner, unnest(json_extract(x, '$.vocabulary[*]')) AS x FROM en WHERE json_type(x->'$.vocabulary') = 'ARRAY'),
-tb AS (SELECT n, unnest(g.b) AS c FROM las WHERE g IS NOT NULL), te AS (SELECT n, unnest(g.e) AS c FROM las WHERE g IS NOT NULL), tv AS (SELECT n, unnest(g.v) AS c FROM las WHERE g IS NOT NULL),
-ch AS (SELECT n, 'block' AS kind, id, NULL AS link FROM bl UNION ALL SELECT n, 'entry', id, NULL FROM en UNION ALL SELECT n, 'vocabulary', id, coalesce(x->>'$.source_entry_id', x->>'$.sourceEntryId') FROM vo
- UNION ALL SELECT n, 'vocabulary', coalesce(x->>'$.vocabulary_entry_id', x->>'$.vocabularyEntryId'), coalesce(x->>'$.source_entry_id', x->>'$.sourceEntryId', owner) FROM nest
- UNION ALL SELECT n, 'block', c.source_block_id, NULL FROM tb UNION ALL SELECT n, 'entry', c.source_entry_id, NULL FROM te UNION ALL SELECT n, 'vocabulary', c.vocabulary_entry_id, c.source_entry_id FROM tv)
-SELECT DISTINCT sample_id, kind AS child_kind, ch.id AS child_id, CASE WHEN kind <> 'vocabulary' THEN sample_id WHEN EXISTS (SELECT 1 FROM ch o WHERE o.n = ch.n AND o.kind = 'entry' AND o.id = ch.link) THEN ch.link ELSE '' END AS parent_id
- FROM ch JOIN las ON las.n = ch.n WHERE ch.id IS NOT NULL
+nest AS (SELECT n, id AS owner, i AS o, unnest(json_extract(x, '$.vocabulary[*]')) AS x, generate_subscripts(json_extract(x, '$.vocabulary[*]'), 1) - 1 AS i FROM en WHERE json_type(x->'$.vocabulary') = 'ARRAY'),
+gb AS (SELECT n, unnest(to_json(g.b)->'$[*]') AS x, generate_subscripts(to_json(g.b)->'$[*]', 1) - 1 AS i FROM las WHERE g.b IS NOT NULL), ge AS (SELECT n, unnest(to_json(g.e)->'$[*]') AS x, generate_subscripts(to_json(g.e)->'$[*]', 1) - 1 AS i FROM las WHERE g.e IS NOT NULL),
+gv AS (SELECT n, unnest(to_json(g.v)->'$[*]') AS x, generate_subscripts(to_json(g.v)->'$[*]', 1) - 1 AS i FROM las WHERE g.v IS NOT NULL),
+ch AS (SELECT n, 'block' AS kind, id, NULL AS link, x, '0.0.' || i AS dewey FROM bl UNION ALL SELECT n, 'entry', id, NULL, x, '0.1.' || i FROM en UNION ALL SELECT n, 'vocabulary', id, {_text('source_entry_id', 'sourceEntryId')}, x, '0.2.' || i FROM vo
+ UNION ALL SELECT n, 'vocabulary', {_text('vocabulary_entry_id', 'vocabularyEntryId')}, coalesce({_text('source_entry_id', 'sourceEntryId')}, owner), x, '0.1.' || o || '.2.' || i FROM nest
+ UNION ALL SELECT n, 'block', x->>'$.source_block_id', NULL, x, '0.0.' || i FROM gb WHERE json_type(x) = 'OBJECT' UNION ALL SELECT n, 'entry', x->>'$.source_entry_id', NULL, x, '0.1.' || i FROM ge WHERE json_type(x) = 'OBJECT'
+ UNION ALL SELECT n, 'vocabulary', x->>'$.vocabulary_entry_id', x->>'$.source_entry_id', x, '0.2.' || i FROM gv WHERE json_type(x) = 'OBJECT'),
+nd AS (SELECT sample_id, kind, ch.id, x, dewey, regexp_replace(dewey, '\\.[^.]+\\.[^.]+$', '') AS parent_dewey, CASE WHEN kind <> 'vocabulary' THEN sample_id WHEN EXISTS (SELECT 1 FROM ch o WHERE o.n = ch.n AND o.kind = 'entry' AND o.id = ch.link) THEN ch.link ELSE '' END AS parent_id
+ FROM ch JOIN las ON las.n = ch.n)
 """
+_CAMEL = {c: "".join(w if k == 0 else w.capitalize() for k, w in enumerate(c.split("_"))) for c in (
+    "source_entry_id", "vocabulary_entry_id", "source_block_id", "lemma", "display_form", "ipa", "part_of_speech", "definition", "machine_verification_status", "raw_text", "entry_order", "segmentation_confidence", "continuation_type", "text", "block_type", "reading_order", "confidence", "source_engine")}
+
+
+def _fields(*names: str, **types: str) -> str:
+    return ", ".join(f"CAST({_text(n, _CAMEL[n])} AS {types.get(n, 'VARCHAR')}) AS {n}" for n in names)
+
 
 SQL = {
     "p2_found": _MEDIA_SQL + "SELECT source_media_id, difference FROM d",
     "p2_report": _MEDIA_SQL + "SELECT * FROM d",
     "p5_blocks": _GOLD_BLOCKS_SQL,
-    "p5_found": _CHILDREN_SQL,
+    "p5_found": _NODES_SQL + "SELECT DISTINCT sample_id, kind AS child_kind, id AS child_id, parent_id FROM nd WHERE id IS NOT NULL",
+    "p5_vocabulary": _NODES_SQL + "SELECT sample_id AS page_id, dewey, parent_dewey, id AS node_id, parent_id, " + _fields("vocabulary_entry_id", "source_entry_id", "lemma", "display_form", "ipa", "part_of_speech", "definition", "machine_verification_status") + " FROM nd WHERE kind = 'vocabulary'",
+    "p5_all_blocks": _NODES_SQL + "SELECT sample_id AS page_id, dewey, parent_id, " + _fields("text", "raw_text", "block_type", "reading_order", "confidence", "source_engine", reading_order="INT", confidence="DOUBLE") + ", id AS source_block_id, "
+    + ", ".join(f"CAST(x->>'$.bbox.{c}' AS {'VARCHAR' if c == 'unit' else 'DOUBLE'}) AS bbox_{c}" for c in ("x1", "y1", "x2", "y2", "unit")) + " FROM nd WHERE kind = 'block'",
+    "p5_payload_states": "SELECT CASE WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'unreadable' WHEN coalesce(payload->>'$.data.page.sample_id', payload->>'$.data.page.sampleId', payload->>'$.page.sample_id', payload->>'$.page.sampleId', payload->>'$.sample_id', payload->>'$.sampleId') IS NULL THEN 'no_page' ELSE 'read' END AS state, count(*) AS n FROM page_payloads GROUP BY 1",
+    "p5_paths": _NODES_SQL + "SELECT CASE kind WHEN 'block' THEN 'blocks' WHEN 'entry' THEN 'entries' ELSE kind END AS path, count(*) AS n_nodes, count(DISTINCT sample_id) AS n_pages FROM nd GROUP BY 1 UNION ALL SELECT 'pages', count(*), count(*) FROM las",
 }

@@ -140,3 +140,30 @@ def test_root_nodes_and_lone_values(spark):
     tables = shred.flat_tables(nodes, {"pages": "page_number int, layout_tags array<string>, review_notes array<string>", "entries": "source_entry_id string, source_pages array<int>"})
     assert [tuple(r) for r in tables["pages"].collect()] == [("s", "0", None, "s", None, 4, ["NORMAL"], ["[x", "y"])]
     assert {(r["parent_dewey"], r["source_entry_id"], tuple(r["source_pages"] or ())) for r in tables["entries"].collect()} == {("0", "e", (7,)), ("0", "f", (7, 8)), ("0", "g", ())}
+
+
+DEEP = {"sample_id": "s", "page_number": 3, "media": [{"sha": "a"}], "blocks": [{"source_block_id": "b", "bbox": {"x1": 0.5}, "lines": [{"text": "one", "words": [{"w": "o", "marks": {"all": [{"m": 1}]}}, {"w": "p"}]}, {"text": "two"}]}]}
+NODES = {
+    ("blocks", "0.0.0", "0", "b", "s"), ("media", "0.media.0", "0", None, "s"), ("blocks.lines", "0.0.0.lines.0", "0.0.0", None, "b"), ("blocks.lines", "0.0.0.lines.1", "0.0.0", None, "b"),
+    ("blocks.lines.words", "0.0.0.lines.0.words.0", "0.0.0.lines.0", None, ""), ("blocks.lines.words", "0.0.0.lines.0.words.1", "0.0.0.lines.0", None, ""), ("blocks.lines.words.marks/all", "0.0.0.lines.0.words.0.marks/all.0", "0.0.0.lines.0.words.0", None, ""),
+}
+
+
+def test_any_depth_and_discovered_fields(spark):
+    raw = shred.shred_json(spark.createDataFrame([(json.dumps(DEEP), "1")], "payload string, at string"), "payload", "at")
+    typed = spark.createDataFrame([(json.dumps(DEEP), "1")], "payload string, at string").selectExpr(
+        "from_json(payload, 'sample_id string, page_number int, media array<struct<sha:string>>, blocks array<struct<source_block_id:string, bbox:struct<x1:double>, lines:array<struct<text:string, words:array<struct<w:string, marks:struct<`all`:array<struct<m:int>>>>>>>>>') AS p", "at").select("p.*", "at")
+    for pages in (raw, shred.shred_typed(typed, "at")):
+        pages = shred.latest_pages(pages)
+        nodes = shred.node_table(pages)
+        assert {(r["path"], r["dewey"], r["parent_dewey"], r["id"], r["parent_id"]) for r in nodes.collect()} == NODES
+        tables = shred.flat_tables(shred.root_nodes(pages).unionByName(nodes))
+        assert set(tables) == {"pages"} | {n[0] for n in NODES}
+        assert tables["pages"].first()["page_number"] == 3 and tables["blocks"].first()["bbox"]["x1"] == 0.5
+        assert sorted(r["w"] for r in tables["blocks.lines.words"].collect()) == ["o", "p"] and tables["blocks.lines.words.marks/all"].first()["m"] == 1
+
+
+def test_payload_states(spark):
+    df = spark.createDataFrame([(p,) for p in ('{"sample_id": "s"}', '{"sampleId": null}', "[]", '{"a', None, "[" * 100_000)], "payload string")
+    assert {r["state"]: r["n"] for r in shred.payload_states(df, "payload").collect()} == {"read": 1, "no_page": 2, "unreadable": 2, "null": 1}
+    assert shred.payload_states(df.limit(0), "payload").count() == 0
