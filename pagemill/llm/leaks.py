@@ -54,6 +54,7 @@ class Settings:
     paraphrase_cosine: float = 0.8
     paraphrase_share: float = 0.75
     items_per_block: int = 4_000
+    bytes_per_block: int = 16_000_000
 
 
 def words(text: str) -> list[str]:
@@ -357,9 +358,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     ``kind`` is ``verbatim`` for a common run (12 words of an English item, 20 characters of a Chinese one), else, if
     asked for, ``paraphrase``: a passage of high cosine most of whose words, in their order, are in the item.
 
-    Items are a stated query set; they are searched in blocks of bounded size against all windows of all documents.
-    Documents are never joined with each other or shuffled: the words are written once, then three passes follow
-    (document frequencies, the sampled SVD, the search).
+    Items are a stated query set; they are searched in blocks of bounded number and bytes, one after the other, against all
+    windows of all documents. Documents are never joined with each other or shuffled: the words are written once, then
+    follow a pass for document frequencies, the SVD on a hash sample of documents and of all items, and one pass a block.
 
     Defined results: null keys, null or empty texts and texts shorter than a run give no row; items of other languages
     are read as English unless most of their words are Chinese characters; repeated documents are reported under each
@@ -368,26 +369,23 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     spark = documents.sparkSession
     key_kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"item {item_kind}, doc {key_kind}, kind string, cosine double, common_share double, answer_found boolean"
-    asked = items.where(F.col(item_key).isNotNull() & (F.length(text) > 0)).select(F.col(item_key).alias("i"), F.col(text).alias("t"))
-    n_blocks = math.ceil(asked.count() / settings.items_per_block)
+    asked = items.where(F.col(item_key).isNotNull() & (F.length(text) > 0)).select(F.col(item_key).alias("i"), F.col(text).alias("t")).distinct()
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(math.ceil(size["n"] / settings.items_per_block), math.ceil(size["bytes"] / settings.bytes_per_block))
+    block_of = F.pmod(F.xxhash64("i"), F.lit(max(n_blocks, 1)))
     tokens = token_table(documents, key, text)
     df, n = document_frequencies(tokens, settings.features)
     idf = np.log1p(n / np.maximum(df, 1)).astype(np.float32)
-    table = None
-    results = []
-    for block in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block).distinct().orderBy("i").collect()
-        coded = [(r["i"], r["t"], encode(r["t"])) for r in rows]
-        listed = [(i, t, "zh" if len(tok) and (tok & np.uint32(1)).mean() > 0.5 else "en", tok) for i, t, tok in coded]
-        if table is None:
-            table = latent_space(tokens, [x[3] for x in listed], idf, n, settings) if n else np.zeros((settings.features, settings.rank), np.float32)
-        results.append(_search_block(spark, tokens, table, _queries(listed, table), settings, paraphrases, schema))
-    if not results:
-        results = [spark.createDataFrame([], schema)]
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out.distinct().select(F.col("item").alias(item_key), F.col("doc").alias(key), "kind", "cosine", "common_share", "answer_found")
+    found = spark.createDataFrame([], schema)
+    if n and n_blocks:
+        # the items' part of the fit is a hash sample of all of them, as large as one block
+        sampled = asked.where(F.pmod(F.xxhash64(F.lit(3), "i"), F.lit(n_blocks)) == 0).orderBy("i").collect()
+        table = latent_space(tokens, [encode(r["t"]) for r in sampled], idf, n, settings)
+        for block in range(n_blocks):  # one block of items is held at a time
+            coded = [(r["i"], r["t"], encode(r["t"])) for r in asked.where(block_of == block).orderBy("i", "t").collect()]
+            listed = [(i, t, "zh" if len(tok) and (tok & np.uint32(1)).mean() > 0.5 else "en", tok) for i, t, tok in coded]
+            found = found.unionByName(_search_block(spark, tokens, table, _queries(listed, table), settings, paraphrases, schema))
+    return found.distinct().select(F.col("item").alias(item_key), F.col("doc").alias(key), "kind", "cosine", "common_share", "answer_found")
 
 
 def _search_block(spark: SparkSession, tokens: DataFrame, table: np.ndarray, queries: dict[str, _Query], s: Settings, paraphrases: bool, schema: str) -> DataFrame:
@@ -406,4 +404,6 @@ def _search_block(spark: SparkSession, tokens: DataFrame, table: np.ndarray, que
                             out.append((query.ids[i], ids[first + t], "verbatim" if verbatim else "paraphrase", cosine, share, answer))
             yield pd.DataFrame(out, columns=["item", "doc", "kind", "cosine", "common_share", "answer_found"])
 
-    return tokens.mapInPandas(run, schema)
+    found = materialize(tokens.mapInPandas(run, schema), "leaks")
+    shared.destroy()
+    return found

@@ -167,4 +167,11 @@ dr AS (SELECT doc_id, k, array_to_string(t[p:p + k - 1], ' ') AS r FROM (SELECT
 SELECT DISTINCT item_id, doc_id FROM ir JOIN dr ON ir.k = dr.k AND ir.r = dr.r
 """
 
-SQL: dict[str, str] = {"p1_found": _P1_SQL, "p4_found": _P4_SQL, "p6_found": _P6_SQL}
+#: By counting words, signs and characters instead of tokens: no text lies between 0.7 and 1.8 of its limit.
+_P8_SQL = r"""
+WITH l AS (SELECT source, min(max_tokens) AS most FROM size_limits WHERE source IS NOT NULL AND max_tokens > 0 GROUP BY 1),
+e AS (SELECT doc_id, most, 1.2 * len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[!-/:-@\[-`{-~]')) + 2 * len(regexp_extract_all(text, '[^\x00-\x7f]')) AS n FROM documents JOIN l ON documents.source = l.source WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id FROM e WHERE n > most
+"""
+
+SQL: dict[str, str] = {"p1_found": _P1_SQL, "p4_found": _P4_SQL, "p6_found": _P6_SQL, "p8_found": _P8_SQL}

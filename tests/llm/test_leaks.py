@@ -65,3 +65,23 @@ def test_subsequence_and_folding():
     a, b = np.array([1, 2, 3, 4], dtype=np.uint32), np.array([2, 9, 4], dtype=np.uint32)
     assert leaks.common_subsequence(a, b) == 2 and leaks.common_subsequence(a, b[:0]) == 0
     assert leaks.words("**Ｗell**-​known <b>réｍark</b>, 3x") == ["well", "known", "rémark", "3x"]
+
+
+def test_reworded_items_among_real_documents(spark):
+    """At the default thresholds: items with every fifth word or character replaced, none of them verbatim."""
+    folder = "/root/testdata/sf0.01"
+    documents, items = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/eval_items.parquet")
+    rng, rows, truth = random.Random(6), [], {}
+    for r in items.orderBy("item_id").collect()[::2]:
+        parts = leaks.words(r["text"])
+        if len(parts) < 30:
+            continue
+        other = leaks.words("".join(rng.choice("天地玄黄宇宙洪荒") for _ in parts)) if r["lang"] == "zh" else [f"odd{i}" for i in range(len(parts))]
+        changed = [other[i] if i % 5 == 4 else w for i, w in enumerate(parts)]
+        truth[r["item_id"]] = 10**9 + len(rows)
+        rows.append((truth[r["item_id"]], ("" if r["lang"] == "zh" else " ").join(changed)))
+    found = leaks.find_leaks(documents.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), items, paraphrases=True)
+    got = {(r["item_id"], r["doc_id"]): r["kind"] for r in found.where("doc_id >= 1000000000").collect()}
+    right = [k for k in truth.items() if k in got]
+    print(len(truth), len(right), len(got) - len(right), [x for x in got.values()].count("verbatim"))
+    assert len(right) >= 0.9 * len(truth) and len(got) - len(right) <= 0.2 * len(got)

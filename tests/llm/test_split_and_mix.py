@@ -45,6 +45,23 @@ def test_pieces_end_at_sentences_and_overlap():
     assert len(cuts & moved) >= len(cuts) // 2
 
 
+def test_edits_move_only_neighbouring_cuts(spark):
+    """Real long documents, edited at the front and in the middle: nearly all other cuts stay where they are."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 8000").select("text").distinct().collect()
+    kept = {"front": [0, 0], "middle": [0, 0]}
+    for text in (r["text"] for r in rows):
+        cuts = {e for _, e, _, _ in checked(text, 512, 32)}
+        at = len(text) // 2
+        for place, where in (("front", 0), ("middle", at)):
+            edit = "One more sentence was written here. "
+            moved = {e if e <= where else e - len(edit) for _, e, _, _ in checked(text[:where] + edit + text[where:], 512, 32)}
+            far = {c for c in cuts if c < where or c > where + 4000}
+            kept[place][0] += len(far & moved)
+            kept[place][1] += len(far)
+    print(kept)
+    assert all(n > 50 and same >= 0.95 * n for same, n in kept.values()), kept
+
+
 def test_chinese_sentences():
     rng = random.Random(2)
     text = "".join("".join(rng.choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(rng.randint(5, 12))) + rng.choice("。！？") for _ in range(400))
