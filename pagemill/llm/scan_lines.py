@@ -29,6 +29,8 @@ _END = re.compile(r"[.!?。！？；;:：…]['\"”’）)]*\s*$")
 _ROMAN = re.compile(r"^(?=[clxvi])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _COUNT = re.compile(rf"^(?:[—–·\-\[(]\s*)?({_DIGIT}+)\s*(?:[—–·\-\])]|\.)?$")
 _ALL_MISREAD = re.compile(r"^(?:[lI|]{0,3}O[lIO|]{0,3}\.?|[lI|]{2,4}\.)$")
+_NO_COUNT = re.compile(r"[^0-9lOoISi|clxviCLXVI\s—–·\-\[\]().pP/]")
+_ANY_DIGIT = re.compile(r"\d")
 _OF = re.compile(rf"^({_DIGIT}+)\s*/\s*({_DIGIT}+)$")
 _PAGE = re.compile(rf"^(\w{{4,5}})\s+({_DIGIT}+)(?:\s+\w{{2}}\s+({_DIGIT}+))?$")
 _P = re.compile(rf"^p\s?\.\s*({_DIGIT}+)$", re.I)
@@ -68,7 +70,8 @@ _OF_WORDS = {"ot"}
 def is_count(line: str) -> bool:
     """A line that looks like a page number and nothing else, with misread digits too."""
     s = line.strip()
-    if not s:
+    # without a digit only these characters can make up a page number
+    if not s or ("页" not in s and _NO_COUNT.search(s) and not _ANY_DIGIT.search(s)):
         return False
     if _ALL_MISREAD.match(s):
         return True
@@ -88,6 +91,8 @@ _ADORNED = (
     re.compile(rf"^{_DIGIT}+\s{{2,}}(.+)$"), re.compile(rf"^(.+?)\s{{2,}}{_DIGIT}+$"),
     re.compile(rf"^(.+?)\s*第\s*{_DIGIT}+\s*单元$"),
 )
+_GAP = re.compile(r"\s\s")
+_WORD_LIST = shapes("word list")[1]
 _UNIT = re.compile(rf"^(\w{{3,5}})\s*{_DIGIT}+\s*[·.:\-—]\s*(.+)$")
 _BAR = re.compile(r"^(.+?)\s*\|\s*(.+)$")
 _NO_TITLE = re.compile(r"[.,;:!?，。；：！？、（）()\[\]*\"“”=]")
@@ -111,16 +116,17 @@ def _titled(core: str) -> str | None:
 def title_cores(line: str) -> tuple[bool, list[str]]:
     """``(adorned, cores)``: keys of what may be the title in a running header; adorned with a number, unit or bar."""
     s = line.strip()
-    if not s or shapes(s[:9])[1].startswith(shapes("word list")[1]):
+    if not s or (s[0] in "wWvV" and shapes(s[:9])[1].startswith(_WORD_LIST)):
         return False, []
-    for pattern in _ADORNED:
-        m = pattern.match(s)
-        if m and (core := _titled(m.group(1))):
-            return True, [core]
+    if _GAP.search(s) or "单元" in s:
+        for pattern in _ADORNED:
+            m = pattern.match(s)
+            if m and (core := _titled(m.group(1))):
+                return True, [core]
     m = _UNIT.match(s)
     if m and shapes(m.group(1))[1] in _UNIT_WORDS and (core := _titled(m.group(2))):
         return True, [core]
-    m = _BAR.match(s)
+    m = _BAR.match(s) if "|" in s else None
     if m:
         both = [_titled(m.group(1)), _titled(m.group(2))]
         if all(both):
@@ -145,7 +151,7 @@ def line_features(before: str | None, line: str, after: str | None, facts: tuple
     letters = [w[0] for w in words]
     n = max(len(s), 1)
     return (
-        count, bool(_ALL_MISREAD.match(s)), adorned, bool(cores), *(x.bit_length() for x in evidence), min(len(words), 16), len(s).bit_length(), 8 * sum(c.isdigit() for c in s) // n,
+        count, bool(_ALL_MISREAD.match(s)), adorned, bool(cores), *(x.bit_length() for x in evidence), min(len(words), 16), len(s).bit_length(), 8 * len(_ANY_DIGIT.findall(s)) // n,
         4 * sum(c.isupper() or c.isdigit() for c in letters) // max(len(letters), 1), "一" <= s[:1] <= "鿿", bool(_NO_TITLE.search(s)), bool(_END.search(s)), before is None, after is None,
         before is not None and not _END.search(before), after is not None and (after.lstrip()[:1].islower() or "一" <= after.lstrip()[:1] <= "鿿"), before is not None and bool(_HYPHEN.search(before)),
     )
@@ -176,22 +182,29 @@ def _fragments(lines: list[str], furniture: set[int]) -> list[tuple[int, int, st
     return out[::-1]
 
 
+_GROUPED = re.compile("[" + "".join(CHINESE_CONFUSIONS) + "]")
+
+
 def han_windows(text: str) -> list[tuple[int, str]]:
     """``(position, three characters)`` around each Chinese character that has a look-alike; ``^`` for no neighbour.
 
     Line breaks do not separate Chinese characters.
     """
     out = []
-    kept = [(i, c) for i, c in enumerate(text) if c not in "\r\n"]
-    for k, (i, c) in enumerate(kept):
-        if c in _GROUP_OF:
-            before = kept[k - 1][1] if k else "^"
-            after = kept[k + 1][1] if k + 1 < len(kept) else "^"
-            out.append((i, ("一" <= before <= "鿿" and before or "^") + c + ("一" <= after <= "鿿" and after or "^")))
+    beside = lambda c: c if "一" <= c <= "鿿" else "^"
+    for m in _GROUPED.finditer(text):
+        i, j, k = m.start(), m.start() - 1, m.end()
+        while j >= 0 and text[j] in "\r\n":
+            j -= 1
+        while k < len(text) and text[k] in "\r\n":
+            k += 1
+        out.append((i, beside(text[j] if j >= 0 else "^") + text[i] + beside(text[k] if k < len(text) else "^")))
     return out
 
 
 def without_ipa(line: str) -> str:
+    if "[" not in line and "/" not in line:
+        return line
     return _IPA.sub(lambda m: " " * len(m.group(0)), line)
 
 
