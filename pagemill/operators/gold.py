@@ -60,15 +60,20 @@ def table_rows(vocabulary: DataFrame, entries: DataFrame) -> DataFrame:
         F.array_join(F.transform("source_pages", lambda p: p.cast("string")), " | ").alias("source_pages"))
 
 
-def set_digest(rows: DataFrame, group: list[str], key: str, digest: Column, width: int = 2) -> DataFrame:
-    """One SHA-256 per group over its rows' digests in the order of their keys.
+def set_digest(rows: DataFrame, group: list[str], key: str, digest: Column, levels: int = 2) -> DataFrame:
+    """One SHA-256 per group over its rows' digests in the order of their keys' hashes, as a tree.
 
-    Digests are hashed within buckets (the first ``width`` digits of the key's hash) and the buckets' digests are hashed in their order: no group,
-    however large, is collected as a whole, and the result does not depend on partitioning.
+    Leaves are the buckets of keys whose hash begins with the same ``2 * levels`` digits, 65,536 of them, so a group of 10^9
+    rows has some 15,000 rows a leaf; every level above hashes the digests of at most 256 nodes in their order. No group is
+    collected as a whole, and the result does not depend on partitioning or on the size of the group.
     """
-    d = rows.select(*group, F.substring(F.sha2(F.col(key).cast("string"), 256), 1, width).alias("__b"), F.struct(F.col(key).cast("string").alias("k"), digest.alias("d")).alias("__x"))
-    inner = d.groupBy(*group, "__b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("__x")), lambda x: x["d"]), "\n"), 256).alias("d"), F.count("*").alias("n"))
-    return inner.groupBy(*group).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), F.sum("n").alias("n_rows"))
+    bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2 * levels)
+    d = rows.select(*group, bucket.alias("__b"), F.struct(F.col(key).cast("string").alias("k"), digest.alias("d")).alias("__x"), F.lit(1).cast("long").alias("__n"))
+    for width in (*range(2 * levels, 0, -2), 0):
+        listed = F.transform(F.array_sort(F.collect_list("__x")), lambda x: x["d"])
+        d = d.groupBy(*group, F.left("__b", F.lit(width)).alias("__b")).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("d"), F.sum("__n").alias("__n"))
+        d = d.select(*group, "__b", F.struct(F.col("__b").alias("k"), "d").alias("__x"), "__n")
+    return d.select(*group, F.col("__x.d").alias("digest"), F.col("__n").alias("n_rows"))
 
 
 def next_release(releases: DataFrame, run: str, digest: str) -> int | None:

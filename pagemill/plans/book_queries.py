@@ -236,6 +236,7 @@ def _squeeze(c: str) -> str:
     return f"trim(regexp_replace({c}, '{_W}+', ' ', 'g'))"
 
 
+_ONE_LINE = r"'^([A-Za-z][A-Za-z''’-]{1,63})(?: /([^/]+)/)?(?: ((?:n|v|vt|vi|adj|adv|prep|conj|pron|det|excl)\.(?:/(?:n|v|vt|vi|adj|adv|prep|conj|pron|det|excl)\.)*))?(?: (.+))?$'"
 _SPLIT = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]'"
 _CLASS = """CASE WHEN s = '' THEN 'EMPTY' WHEN regexp_matches(s, '^(?i)word list \\d+$') THEN 'WORD_LIST_HEADER' WHEN s = '词根/词缀预习表' THEN 'PREVIEW_TABLE_HEADER'
  WHEN regexp_matches(s, '^[一二三四五六七八九十]+ 雅思') OR upper(s) = 'INDEX' THEN 'NON_ENTRY_SECTION_HEADER' WHEN regexp_matches(s, '^[A-Za-z][A-Za-z''’-]*\\*? \\[[^\\]]+\\]') THEN 'ENTRY_HEAD'
@@ -323,6 +324,9 @@ SQL = {
     "field_provenance": _LATEST + _ENTRY_LINES + """, fp AS (SELECT source_entry_id, 'lemma' AS path FROM el WHERE i = 1 UNION ALL SELECT source_entry_id, 'pronunciations' FROM el WHERE i = 1 AND regexp_matches(h, '^[A-Za-z][A-Za-z''’-]*\\*? \\[[^\\]]+\\]')
  UNION ALL SELECT source_entry_id, 'pronunciations' FROM un2 WHERE isipa UNION ALL SELECT source_entry_id, 'senses' FROM sen UNION ALL SELECT source_entry_id, 'fields' FROM fld)
  SELECT path, count(*) AS n_fields, count(ent.block_ids[1]) AS n_with_block, count(DISTINCT fp.source_entry_id) AS n_entries FROM fp JOIN ent ON fp.source_entry_id = ent.source_entry_id GROUP BY 1""",
+    "one_line_entries": f"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, {_SPLIT})) AS raw, generate_subscripts(string_split_regex(text, {_SPLIT}), 1) AS i FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line_no, {_squeeze('raw')} AS s FROM l WHERE {_strip('raw')} <> '')
+ SELECT doc_id, CAST(line_no AS INT) AS line_no, trim(regexp_extract(s, {_ONE_LINE}, 1)) AS lemma, nullif(trim(regexp_extract(s, {_ONE_LINE}, 3)), '') AS pos, nullif(trim(regexp_extract(s, {_ONE_LINE}, 4)), '') AS definition FROM s WHERE regexp_matches(s, {_ONE_LINE})""",
     "effective_texts": _LATEST + """, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_entry_id ORDER BY resolved_at DESC) AS r2 FROM res WHERE source_entry_id IS NOT NULL) WHERE r2 = 1),
  t AS (SELECT ent.source_entry_id, l.decision, CASE WHEN l.decision = 'DISCARD' THEN '' WHEN l.decision = 'ACCEPT' AND length(coalesce(l.corrected_text, '')) > 0 THEN l.corrected_text ELSE coalesce(ent.raw_text, '') END AS t FROM ent LEFT JOIN l ON ent.source_entry_id = l.source_entry_id)
  SELECT source_entry_id, decision, sha256(t) AS text_digest, length(t) AS n_chars FROM t""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators import evaluate, gold, media, segment
@@ -153,9 +153,9 @@ def user_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_carried_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last purchase or signup before or at each event, carried forward per user."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.last(F.when(F.col("event_type").isin("purchase", "signup"), F.col("event_id")), ignorenulls=True).over(w)
-    return read(spark, sf_dir, "events").select("event_id", "user_id", mark.alias("marked_by"))
+    e = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    mark = F.when(F.col("event_type").isin("purchase", "signup"), F.col("event_id"))
+    return runs.carried(e, "user_id", "day", ["ts", "event_id"], mark, "marked_by").select("event_id", "user_id", "marked_by")
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +197,9 @@ SQL = {
     "common_lemmas": _MEDIA + "SELECT lemma, count(*) AS n FROM (SELECT lemma FROM o WHERE lemma IS NOT NULL INTERSECT ALL SELECT lemma FROM p WHERE lemma IS NOT NULL) GROUP BY 1",
     "gold_record_digests": _LATEST + _ENTRY_LINES + ", nf AS (SELECT source_entry_id, count(*) AS n FROM fld GROUP BY 1) SELECT vocabulary_entry_id AS id, voc.lemma, '[' || coalesce(array_to_string(ent.source_pages, ','), '') || ']' AS pages, part_of_speech AS pos, CAST(coalesce(nf.n, 0) AS INT) AS n_fields FROM voc LEFT JOIN ent ON voc.source_entry_id = ent.source_entry_id LEFT JOIN nf ON nf.source_entry_id = ent.source_entry_id",
     "gold_table": _LATEST + "SELECT vocabulary_entry_id AS id, voc.lemma, language, machine_verification_status AS status, ipa, part_of_speech, definition, voc.source_entry_id, array_to_string(ent.source_pages, ' | ') AS source_pages FROM voc LEFT JOIN ent ON voc.source_entry_id = ent.source_entry_id",
-    "run_digests": _LATEST + """, d AS (SELECT processing_run_id, sha256(vocabulary_entry_id)[1:2] AS b, vocabulary_entry_id AS k, sha256(concat_ws(chr(10), lemma, coalesce(definition, ''))) AS d FROM voc), i AS (SELECT processing_run_id, b, sha256(string_agg(d, chr(10) ORDER BY k)) AS d, count(*) AS n FROM d GROUP BY 1, 2)
- SELECT processing_run_id, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM i GROUP BY 1""",
+    "run_digests": _LATEST + """, d AS (SELECT processing_run_id, sha256(vocabulary_entry_id)[1:4] AS b, vocabulary_entry_id AS k, sha256(concat_ws(chr(10), lemma, coalesce(definition, ''))) AS d FROM voc),
+ i AS (SELECT processing_run_id, b, sha256(string_agg(d, chr(10) ORDER BY k)) AS d, count(*) AS n FROM d GROUP BY 1, 2), h AS (SELECT processing_run_id, b[1:2] AS b, sha256(string_agg(d, chr(10) ORDER BY b)) AS d, sum(n) AS n FROM i GROUP BY 1, b[1:2])
+ SELECT processing_run_id, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM h GROUP BY 1""",
     "header_neighbours": _LATEST + """, b AS (SELECT page_id, source_block_id AS id, block_type, bbox.x1 AS x1, bbox.y1 AS y1, bbox.x2 AS x2, bbox.y2 AS y2, (bbox.y1 + bbox.y2) / 2 AS m FROM blk WHERE bbox IS NOT NULL), r AS (SELECT * FROM b WHERE block_type <> 'TEXT'), t AS (SELECT * FROM b WHERE block_type = 'TEXT')
  SELECT r.page_id, r.id AS region_id, (SELECT t.id FROM t WHERE t.page_id = r.page_id AND t.m < r.y1 ORDER BY t.y2 DESC, t.id DESC LIMIT 1) AS above_id, (SELECT t.id FROM t WHERE t.page_id = r.page_id AND t.m > r.y2 ORDER BY t.y1, t.id LIMIT 1) AS below_id,
  (SELECT count(*) FROM t WHERE t.page_id = r.page_id AND t.m >= r.y1 AND t.m <= r.y2 AND t.x1 < r.x2 AND t.x2 > r.x1) AS n_overlapping FROM r""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
 from pagemill.operators import evaluate, gold, media, parse, store
-from pagemill.plans.book_queries import _ENTRY_LINES, _LATEST, _LINES, _SPLIT, _squeeze, _strip, blocks, entries, resolutions, vocabulary
+from pagemill.plans.book_queries import _ENTRY_LINES, _LATEST, _LINES, _ONE_LINE, _SPLIT, _squeeze, _strip, blocks, entries, resolutions, vocabulary
 from pagemill.plans.evaluation_queries import _overlay, _prediction
 from pagemill.session import latest, read
 from pagemill.sources import files
@@ -297,7 +297,6 @@ s AS (SELECT page_id, max(l + 9) AS pw, max(y + 12) AS ph FROM w GROUP BY 1)
 SELECT w.page_id, CAST(ro AS INT) AS block_num, 0 AS line_num, string_agg(t, ' ' ORDER BY i, t) AS text, round(least(1, greatest(0, min(l) / any_value(pw))), 6) AS x1, round(least(1, greatest(0, min(y) / any_value(ph))), 6) AS y1,
  round(least(1, greatest(0, max(l + 9) / any_value(pw))), 6) AS x2, round(least(1, greatest(0, max(y + 12) / any_value(ph))), 6) AS y2, round(avg(c) / 100, 6) AS confidence FROM w JOIN s ON s.page_id = w.page_id WHERE c >= 0 AND t <> '' GROUP BY w.page_id, ro"""
 _DISPATCH = r"""regexp_matches({s}, '^[A-Za-z][A-Za-z''’-]{{1,63}}( /[^/]+/)?( (?:n|v|vt|vi|adj|adv|prep|conj|pron|det|excl)\.(?:/(?:n|v|vt|vi|adj|adv|prep|conj|pron|det|excl)\.)*)?( .+)?$')"""
-_ONE_LINE = r"'^([A-Za-z][A-Za-z''’-]{1,63})(?: /([^/]+)/)?(?: ((?:n|v|vt|vi|adj|adv|prep|conj|pron|det|excl)\.(?:/(?:n|v|vt|vi|adj|adv|prep|conj|pron|det|excl)\.)*))?(?: (.+))?$'"
 _HEAD = r"^[A-Za-z][A-Za-z''’-]*\*? \[[^\]]+\]"
 _SENSE = r"^(n|v|vt|vi|adj|adv|prep|conj|pron|num|art)\."
 _BARE = r"^[A-Za-z][A-Za-z''’-]*\*?$"

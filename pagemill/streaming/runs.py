@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -44,3 +44,18 @@ def state_machine(events: DataFrame, key: str = "run_id", state: str = "state",
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, before string, after string, allowed boolean", "now string", "append", GroupStateTimeout.NoTimeout)
+
+
+def carried(df: DataFrame, group: str, chunk: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the last non-null ``value`` of its group so far, this row included, in the order of chunk and ``order``.
+
+    Two levels: within each chunk, then over one summary a chunk, so a group with a third of all rows is sorted chunk by
+    chunk in many tasks. Chunks must follow the order. Null groups and chunks are groups and chunks of their own.
+    """
+    within = Window.partitionBy(group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = df.withColumn(name, F.last(value, ignorenulls=True).over(within))
+    ends = here.groupBy(F.col(group).alias("__g"), F.col(chunk).alias("__c")).agg(F.max_by(name, F.struct(*order)).alias("__last"))
+    earlier = Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("__g", "__c", F.last("__last", ignorenulls=True).over(earlier).alias("__before"))
+    joined = here.join(before, F.col(group).eqNullSafe(F.col("__g")) & F.col(chunk).eqNullSafe(F.col("__c")))
+    return joined.withColumn(name, F.coalesce(name, "__before")).drop("__g", "__c", "__before")
